@@ -61,8 +61,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     """Learn from labelled documents outside the held-out fifth.
 
     ``labels`` has doc_id and toxic; rows with a null are dropped, a repeated id counts once with its
-    highest label. What reaches the driver is at most ``max_labelled`` rows of at most 2**BITS distinct
-    features. No usable label at all gives a model that scores one half less a hair everywhere.
+    highest label. One task gets at most ``max_labelled`` rows of at most 2**BITS distinct features each. No usable label at all gives a model that scores one half less a hair everywhere.
     """
     ids = (
         labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
@@ -84,11 +83,24 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
                 lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(feat))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), batch.column("label").slice(lo, hi - lo), lists], names=["doc_id", "label", "feats"])
 
-    seen = rows.mapInArrow(featurise, f"doc_id {dict(rows.dtypes)['doc_id']}, label int, feats array<int>").toPandas()
-    seen = seen.sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
-    if seen.empty or seen.label.nunique() < 2:
-        return np.zeros(0, np.int64), np.zeros(0), -1e-3 if seen.empty else (-4.0, 4.0)[int(seen.label.iloc[0])]
-    return ftrl([np.asarray(x, np.int64) for x in seen.feats], seen.label.to_numpy(float))
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = {}
+        for batch in batches:
+            cuts, flat = batch.column("feats").offsets.to_numpy(), batch.column("feats").values.to_numpy()
+            for i, (key, label) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("label").to_pylist(), strict=True)):
+                seen[key] = (label, flat[cuts[i] : cuts[i + 1]].copy())
+        labels = np.array([seen[k][0] for k in sorted(seen)], float)
+        if len(set(labels)) < 2:
+            found = np.zeros(0, np.int64), np.zeros(0), 0.0 if not len(labels) else 8 * labels[0] - 4
+        else:
+            found = ftrl([seen[k][1] for k in sorted(seen)], labels)
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *found[0]], pa.int32()), pa.array([found[2] if len(labels) else -1e-3, *found[1]], pa.float64())], names=["feature", "weight"])
+
+    # One task holds the bounded sample; only the sparse weights reach the driver.
+    features = rows.mapInArrow(featurise, f"doc_id {dict(rows.dtypes)['doc_id']}, label int, feats array<int>")
+    model = features.repartition(1).mapInArrow(learn, "feature int, weight double").toArrow()
+    keys, weights = model.column("feature").to_numpy(), model.column("weight").to_numpy()
+    return keys[keys >= 0].astype(np.int64), weights[keys >= 0], float(weights[keys < 0].sum())
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataFrame:
