@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvine.llm import toxicity
+from corvine.llm import langid, toxicity
 from corvine.llm.tables import table
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.fit(docs))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {"op10_toxicity": op10_toxicity}
+QUERIES = {"op7_language": op7_language, "op10_toxicity": op10_toxicity}
 ORACLES: dict[str, str] = {}
