@@ -4,10 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvine.llm import langid, toxicity
+from corvine.llm import langid, license, toxicity, urlfilter
 from corvine.llm.tables import table
 
 
+# The rules that the contract of this query names.
+URL_RULES = [
+    urlfilter.Rule("block", "com", "/en/"),
+    urlfilter.Rule("allow", "example.com", "/en/7"),
+    urlfilter.Rule("block", "net", "/de/"),
+    urlfilter.Rule("block", "example.net", "/de/8"),
+    urlfilter.Rule("block", "org", "/es/"),
+]
+
+
+def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"), URL_RULES).drop("candidates")
+
+
+def op8_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.scan(table(spark, sf_dir, "documents"), license.digests(spark))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.predict(docs, langid.fit(docs))
@@ -18,5 +36,42 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {"op7_language": op7_language, "op10_toxicity": op10_toxicity}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op5_urls": op5_urls, "op8_license": op8_license, "op7_language": op7_language, "op10_toxicity": op10_toxicity}
+
+
+def _urls_sql() -> str:
+    """Each rule as a predicate, longest first."""
+    order = sorted(URL_RULES, key=lambda r: -len(r.text))
+    fits = [f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')" for r in order]
+    rule = " ".join(f"WHEN {w} THEN '{r.text}'" for w, r in zip(fits, order, strict=True))
+    verdict = " ".join(f"WHEN {w} THEN '{r.verdict}'" for w, r in zip(fits, order, strict=True))
+    return rf"""
+WITH parts AS (
+  SELECT page_id,
+         translate(coalesce(regexp_extract(url, '^[\s\S]*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '^[\s\S]*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages)
+SELECT page_id, host, path, CASE {rule} END AS rule, CASE {verdict} ELSE 'allow' END AS verdict FROM parts"""
+
+
+def _license_sql() -> str:
+    """The canonical form spelt out in SQL, for documents and known texts alike."""
+
+    def canonical(text: str) -> str:
+        x = f"lower(coalesce({text}, ''))"
+        x = rf"regexp_replace({x}, '(?m)^[^\p{{L}}\p{{N}}\n(©]*(copyright|\(c\)|©)[^\n]*$', ' ', 'g')"
+        x = rf"' ' || regexp_replace({x}, '[^\p{{L}}\p{{N}}]+', '  ', 'g') || ' '"
+        for variant, same in license.SPELLINGS:
+            x = f"replace({x}, ' {variant.replace(' ', '  ')} ', ' {same} ')"
+        return f"trim(regexp_replace({x}, ' +', ' ', 'g'))"
+
+    rows = ", ".join(f"({i}, '{k}', '{t}')" for i, (k, t) in enumerate(license.KNOWN))
+    return f"""
+WITH known AS (
+  SELECT sha256({canonical("text")}) AS digest, min_by(license, ord) AS license
+  FROM (VALUES {rows}) AS k(ord, license, text) GROUP BY 1),
+own AS (SELECT doc_id, sha256({canonical("text")}) AS digest FROM documents)
+SELECT doc_id, own.digest, license FROM own LEFT JOIN known ON own.digest = known.digest AND known.digest <> sha256('')"""
+
+
+ORACLES: dict[str, str] = {"op5_urls": _urls_sql(), "op8_license": _license_sql()}
