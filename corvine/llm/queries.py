@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvine.llm import langid, license, pii, toxicity, urlfilter
+from corvine.llm import langid, license, mixing, pii, toxicity, urlfilter
 from corvine.llm.tables import table
 
 
@@ -18,6 +18,10 @@ URL_RULES = [
 ]
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -40,7 +44,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {"op4_pii": op4_pii, "op5_urls": op5_urls, "op8_license": op8_license, "op7_language": op7_language, "op10_toxicity": op10_toxicity}
+QUERIES = {"op3_mixing": op3_mixing, "op4_pii": op4_pii, "op5_urls": op5_urls, "op8_license": op8_license, "op7_language": op7_language, "op10_toxicity": op10_toxicity}
 
 
 def _urls_sql() -> str:
