@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvine.llm import langid, license, mixing, pii, toxicity, urlfilter
+from corvine.llm import decontaminate, langid, license, mixing, pii, toxicity, urlfilter
 from corvine.llm.tables import table
 
 
@@ -34,6 +34,10 @@ def op8_license(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.scan(table(spark, sf_dir, "documents"), license.digests(spark))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.predict(docs, langid.fit(docs))
@@ -44,7 +48,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {"op3_mixing": op3_mixing, "op4_pii": op4_pii, "op5_urls": op5_urls, "op8_license": op8_license, "op7_language": op7_language, "op10_toxicity": op10_toxicity}
+QUERIES = {"op6_decontamination": op6_decontamination, "op3_mixing": op3_mixing, "op4_pii": op4_pii, "op5_urls": op5_urls, "op8_license": op8_license, "op7_language": op7_language, "op10_toxicity": op10_toxicity}
 
 
 def _urls_sql() -> str:
