@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corvine.llm import decontaminate, langid, license, mixing, pii, toxicity, urlfilter
+from corvine.llm import ann, decontaminate, langid, license, mixing, pii, toxicity, urlfilter
 from corvine.llm.tables import table
 
 
@@ -43,12 +44,16 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.fit(docs))
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {"op6_decontamination": op6_decontamination, "op3_mixing": op3_mixing, "op4_pii": op4_pii, "op5_urls": op5_urls, "op8_license": op8_license, "op7_language": op7_language, "op10_toxicity": op10_toxicity}
+QUERIES = {"op9_neighbours": op9_neighbours, "op6_decontamination": op6_decontamination, "op3_mixing": op3_mixing, "op4_pii": op4_pii, "op5_urls": op5_urls, "op8_license": op8_license, "op7_language": op7_language, "op10_toxicity": op10_toxicity}
 
 
 def _urls_sql() -> str:
