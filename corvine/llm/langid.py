@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvine.llm import textops
-from corvine.llm.tables import held_out
+from corvine.llm.tables import cut, held_out
 
 DIM = 4096
-#: Learned from at most so many documents in all, shared evenly among the languages, those with the lowest hash of their id.
+#: Learned from at most so many documents in all, shared evenly among the languages, about those with the lowest hash of their id.
 MAX_LABELLED = 4000
 #: Below this probability of the nearest codeword a prediction is flagged as ambiguous.
 AMBIGUOUS = 0.6
@@ -100,9 +100,13 @@ def decode(m: Model, margins: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
     """Learn from text and lang outside the held-out fifth; nulls are left out, and so are texts without a letter."""
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    n = max(1, rows.select(F.approx_count_distinct("lang")).first()[0])
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = rows.select("doc_id", "lang").withColumn("rank", rank).filter(F.col("rank") <= max(20, max_labelled // n)).select("doc_id", "lang")
+    sizes = cut(rows.groupBy("lang").agg(F.count("*").alias("size")))
+    each = max(20, max_labelled // max(1, sizes.count()))
+    # A lot by hash thins large languages to about twice what is wanted before rows of one language meet.
+    lot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    some = rows.select("doc_id", "lang", lot.alias("lot")).join(F.broadcast(sizes), "lang").filter(F.col("lot") < F.lit(2.0 * each * (1 << 30)) / F.col("size"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("lot", "doc_id"))
+    ids = some.withColumn("rank", rank).filter(F.col("rank") <= each).select("doc_id", "lang")
     picked = docs.select("doc_id", "text").join(F.broadcast(ids.dropDuplicates(["doc_id"])), "doc_id").select("doc_id", "lang", "text")
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
