@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvine.llm import ann, decontaminate, langid, license, mixing, neardup, pii, toxicity, urlfilter
+from corvine.llm import ann, decontaminate, langid, license, mixing, neardup, pii, substrings, toxicity, urlfilter
 from corvine.llm.tables import table
 
 
@@ -19,6 +19,10 @@ URL_RULES = [
 ]
 
 
+def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.strip(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents"))
 
@@ -57,7 +61,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {"op2_neardup": op2_neardup, "op9_neighbours": op9_neighbours, "op6_decontamination": op6_decontamination, "op3_mixing": op3_mixing, "op4_pii": op4_pii, "op5_urls": op5_urls, "op8_license": op8_license, "op7_language": op7_language, "op10_toxicity": op10_toxicity}
+QUERIES = {"op1_substrings": op1_substrings, "op2_neardup": op2_neardup, "op9_neighbours": op9_neighbours, "op6_decontamination": op6_decontamination, "op3_mixing": op3_mixing, "op4_pii": op4_pii, "op5_urls": op5_urls, "op8_license": op8_license, "op7_language": op7_language, "op10_toxicity": op10_toxicity}
 
 
 def _urls_sql() -> str:
