@@ -139,11 +139,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 2024)
     return now.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.col("part")).cast("int").alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
 
 
-def repeat(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The documents as the mix takes them: a row for each copy, none for those without; columns as before.
+def take(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), broadcast_rows: int = 1_000_000) -> DataFrame:
+    """The documents that the mix takes, columns as before and copies, size, source_size, target, taken.
 
-    Documents without words take no part. Repeated ids count once in the mix that is joined.
+    Documents without a copy, and so those without words, are left out. Rows that share an id must be
+    the same document: they get the copies of one of them each. Columns of docs with one of the added
+    names give way. Up to ``broadcast_rows`` rows of about 50 bytes are broadcast, more are shuffled.
     """
-    copies = mixed.groupBy("doc_id").agg(F.max("copies").alias("__copies")).filter("__copies > 0")
-    kept = docs.join(copies, "doc_id").select(docs.columns + ["__copies"])
-    return kept.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop("__copies", "__copy")
+    added = ["copies", "size", "source_size", "target", "taken"]
+    plan = cut(mix(docs, weights).filter("copies > 0").select(F.col("doc_id").alias("__id"), *added).dropDuplicates(["__id"]))
+    small = plan.count() <= broadcast_rows
+    own = docs.drop(*added)
+    return own.join(F.broadcast(plan) if small else plan, F.col("doc_id") == F.col("__id")).select(*own.columns, *added)

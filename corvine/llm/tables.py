@@ -12,11 +12,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the shared folder that the cluster names; one of our own only where none is set (local tests)."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """This session's part of the folder that the cluster names in spark.checkpoint.dir; a folder of our own only where it names none (local tests)."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="corvine-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Checkpoint in the shared folder: later stages read it, whichever executors are lost."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

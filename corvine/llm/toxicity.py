@@ -109,9 +109,32 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataF
     A null or empty text gets the bias alone. Only text decides; each distinct feature counts once.
     The weights, at most 2**BITS of them, travel with the tasks.
     """
-    kept, weights, bias = model
+    judge = _judge(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, p in judge(batches):
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+
+    rows = docs.select("doc_id", held_out().alias("held_out"), "text")
+    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, held_out boolean, score double, predicted int")
+
+
+def clean(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataFrame:
+    """The rows of docs, columns as they are, without those that are predicted toxic."""
+    judge = _judge(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, p in judge(batches):
+            yield batch.filter(pa.array(p < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _judge(model: tuple[np.ndarray, np.ndarray, float]):
+    """Batches with a text -> (batch, probabilities)."""
+    kept, weights, bias = model
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
         dense = np.zeros(1 << BITS)
         dense[kept] = weights
         for batch in batches:
@@ -122,8 +145,6 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataF
                 hit = dense[feat] != 0
                 flat = np.unique((doc[hit] << BITS) | feat[hit])
                 total[lo:hi] += np.bincount(flat >> BITS, dense[flat & ((1 << BITS) - 1)], minlength=hi - lo)
-            p = 1 / (1 + np.exp(-np.clip(total, -35, 35)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+            yield batch, 1 / (1 + np.exp(-np.clip(total, -35, 35)))
 
-    rows = docs.select("doc_id", held_out().alias("held_out"), "text")
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, held_out boolean, score double, predicted int")
+    return run
