@@ -133,7 +133,7 @@ def cosine_scores(spark, d):
 @query
 def cosine_distance(spark, d):
     base = _base(spark, d)
-    return vectors.scores(base, _hundredth(base)).select("query_id", "doc_id", F.round(1 - F.col("score"), 6).alias("distance"))
+    return vectors.scores(base, _hundredth(base)).select("query_id", "doc_id", (F.round(1 - F.col("score"), 6) + 0.0).alias("distance"))
 
 
 @query

@@ -56,7 +56,7 @@ HITS = f"{bm_top(8)}, hits AS (SELECT query_id, rank, '[' || rank || '] ' || con
 SCORES = f"{NORMED}, g AS (SELECT vec_id AS id, v, list_transform(v[1:32], lambda x: x / sqrt(list_sum(list_transform(v[1:32], lambda y: y * y)))) AS g, vec_id // 2 AS i, vec_id // 32 AS batch FROM nv), sc AS (SELECT a.batch, a.i, b.i AS j, 20 * list_dot_product(a.v, b.v) AS s, list_dot_product(a.g, b.g) AS gs FROM g a JOIN g b USING (batch) WHERE a.id % 2 = 0 AND b.id % 2 = 1), own AS (SELECT batch, i, max(CASE WHEN i = j THEN gs END) AS o FROM sc GROUP BY ALL)"
 NCE = "SELECT avg(l) AS loss FROM (SELECT ln(sum(exp(s))) - max(CASE WHEN i = j THEN s END) AS l FROM {0} GROUP BY batch, i)"
 IDS = f"pk0 AS (SELECT doc_id, list_transform({toks('text')}, lambda t: 5 + {md5n('t', 7)} % 32763) AS ids FROM documents), pk AS (SELECT doc_id, ids, (coalesce(sum(len(ids) + 1) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS start FROM pk0)"
-WINDOWS = f"{IDS}, fl AS (SELECT start + unnest(range(len(ids) + 1)) AS pos, unnest(list_append(ids, 3)) AS id FROM pk), win AS (SELECT pos // 128 AS window, list(id ORDER BY pos) AS ids FROM fl GROUP BY 1 HAVING count(*) = 128)"
+WINDOWS = f"{IDS}, fl AS (SELECT start + unnest(range(len(ids) + 1)) AS pos, unnest(list_append(ids, 3)) AS id FROM pk), win AS (SELECT pos // 128 AS \"window\", list(id ORDER BY pos) AS ids FROM fl GROUP BY 1 HAVING count(*) = 128)"
 
 
 def draw(kind: str) -> str:
@@ -83,7 +83,7 @@ ORACLES: dict[str, str] = {
     "bm25_topk": f"WITH {bm_top(10)} SELECT query_id, rank, doc_id, round(score, 6) AS score FROM top",
     "l2_normalize": f"WITH {NORMED} SELECT vec_id, unnest(range(len(v))) AS pos, round(unnest(v), 6) AS x FROM nv",
     "cosine_scores": f"WITH {COS} SELECT query_id, doc_id, round(score, 6) AS score FROM cs",
-    "cosine_distance": f"WITH {COS} SELECT query_id, doc_id, round(1 - score, 6) AS distance FROM cs",
+    "cosine_distance": f"WITH {COS} SELECT query_id, doc_id, round(1 - score, 6) + 0.0 AS distance FROM cs",
     "knn_topk": f"WITH {knn(10)} SELECT query_id, rank, doc_id, round(score, 6) AS score FROM nn",
     "knn_with_metadata": f"WITH {knn(10)} SELECT query_id, rank, doc_id, label, round(score, 6) AS score FROM nn JOIN embeddings e ON e.vec_id = nn.doc_id",
     "topk_global": "SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 10",
@@ -132,7 +132,7 @@ one AS (SELECT query_id, doc_id, rank FROM dense), two AS (SELECT query_id, doc_
     "perplexity": "SELECT round(avg(n_chars % 97 / 100), 6) AS loss, round(exp(avg(n_chars % 97 / 100)), 6) AS perplexity FROM documents",
     "vocab_equality": f"WITH w AS (SELECT source, unnest({toks('text')}) AS t FROM documents), a AS (SELECT DISTINCT t FROM w WHERE source = 'src0'), b AS (SELECT DISTINCT t FROM w WHERE source = 'src1'), c AS (SELECT count(*) AS n_different FROM a FULL JOIN b ON a.t = b.t WHERE a.t IS NULL OR b.t IS NULL) SELECT n_different, n_different = 0 AS equal FROM c",
     "pack_offsets": f"WITH {IDS} SELECT doc_id, len(ids) AS n, start FROM pk",
-    "token_windows": f"WITH {WINDOWS} SELECT window, len(list_filter(ids, lambda x: x < 5)) AS n_special, array_to_string(ids, ',') AS ids FROM win",
-    "mlm_mask": f"WITH {WINDOWS}, e AS (SELECT window AS w, unnest(range(128)) AS p, unnest(ids) AS id FROM win), m AS (SELECT *, id >= 5 AND {draw('a')} < {int(0.15 * 16**7)} AS dr, CASE WHEN {draw('b')} < {int(0.8 * 16**7)} THEN 4 WHEN {draw('b')} < {int(0.9 * 16**7)} THEN 5 + {draw('c')} % 32763 ELSE id END AS nw FROM e) SELECT w AS window, string_agg(CASE WHEN dr THEN nw ELSE id END, ',' ORDER BY p) AS input_ids, string_agg(CASE WHEN dr THEN id ELSE -100 END, ',' ORDER BY p) AS labels FROM m GROUP BY w",
-    "linspace_sample": f"WITH {WINDOWS}, c AS (SELECT count(*) AS n FROM win), pl AS (SELECT DISTINCT floor(i * ((n - 1)::DOUBLE / (least(n, 64) - 1)))::BIGINT AS window FROM c, range(64) t(i) WHERE i < least(n, 64)) SELECT window, ids[1] AS first_id FROM win JOIN pl USING (window)",
+    "token_windows": f"WITH {WINDOWS} SELECT \"window\", len(list_filter(ids, lambda x: x < 5)) AS n_special, array_to_string(ids, ',') AS ids FROM win",
+    "mlm_mask": f"WITH {WINDOWS}, e AS (SELECT \"window\" AS w, unnest(range(128)) AS p, unnest(ids) AS id FROM win), m AS (SELECT *, id >= 5 AND {draw('a')} < {int(0.15 * 16**7)} AS dr, CASE WHEN {draw('b')} < {int(0.8 * 16**7)} THEN 4 WHEN {draw('b')} < {int(0.9 * 16**7)} THEN 5 + {draw('c')} % 32763 ELSE id END AS nw FROM e) SELECT w AS \"window\", string_agg(CASE WHEN dr THEN nw ELSE id END, ',' ORDER BY p) AS input_ids, string_agg(CASE WHEN dr THEN id ELSE -100 END, ',' ORDER BY p) AS labels FROM m GROUP BY w",
+    "linspace_sample": f"WITH {WINDOWS}, c AS (SELECT count(*) AS n FROM win), pl AS (SELECT DISTINCT floor(i * ((n - 1)::DOUBLE / (least(n, 64) - 1)))::BIGINT AS \"window\" FROM c, range(64) t(i) WHERE i < least(n, 64)) SELECT \"window\", ids[1] AS first_id FROM win JOIN pl USING (\"window\")",
 }
