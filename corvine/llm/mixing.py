@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from corvine.llm.tables import cut, slots
 
 #: Documents that one task of the tree's first level holds about, and residuals that one task of a later level holds.
-LEAF, FAN = 20_000, 2_000
+LEAF, FAN = 1_000, 1_000
 #: Copies of a document at most, and so target over source size.
 MOST = 3
 
@@ -34,13 +34,13 @@ def ranked(sources: DataFrame) -> DataFrame:
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST) -> DataFrame:
-    """doc_id, source, size -> source, source_size, weight, target.
+    """doc_id, source, size -> source, source_size, n_docs, weight, target.
 
     Weights repeat in code point order of the sources, null last. The targets share the sum of all
     sizes by weight; one stops at ``most`` times its source's size and the excess is shared anew by
     weight until none is above. Sums are whole numbers, so the result doesn't hang on their order.
     """
-    every = ranked(sizes.groupBy("source").agg(F.sum("size").cast("long").alias("source_size")))
+    every = ranked(sizes.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"), F.count("*").alias("n_docs")))
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int"))
     every = cut(every.withColumn("weight", weight).drop("rank"))
     total = every.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
@@ -101,20 +101,19 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 2024)
     sized = cut(docs.select("doc_id", "source", size(F.col("text")).alias("size")))
     goal = targets(sized, weights)
     # A row for each source: joined by a shuffle of small rows that AQE splits or turns into a broadcast.
-    rows = sized.join(goal, sized["source"].eqNullSafe(goal["source"])).select(sized["*"], "source_size", "target")
-    counts = sized.groupBy("source").count().agg(F.max("count")).first()[0] or 0
-    leaves = slots(counts, LEAF)
+    rows = sized.join(goal, sized["source"].eqNullSafe(goal["source"])).select(sized["*"], "source_size", "target", F.ceil(F.col("n_docs") / LEAF).alias("leaves"))
+    most = rows.agg(F.max("leaves")).first()[0] or 1
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rows = rows.withColumn("rate", rate).withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(leaves)).cast("long"))
+    rows = rows.withColumn("rate", rate).withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.col("leaves")))
     kind = dict(rows.dtypes)["doc_id"]
-    schema = f"doc_id {kind}, source string, size long, source_size long, target double, slot long, whole double, part double"
+    schema = f"doc_id {kind}, source string, size long, source_size long, target double, leaves long, slot long, whole double, part double"
 
-    def level(number: int, final: bool):
+    def level(number: int):
         def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable")
             rng = np.random.default_rng([seed, number, int(key[1]), zlib.crc32(repr(key[0]).encode())])
             part, left = pivot(pdf["size"].to_numpy(float), pdf["part"].to_numpy(float), rng)
-            if final and left >= 0:
+            if left >= 0 and pdf["leaves"].iloc[0] == 1:
                 part[left] = round(part[left])
             return pdf.assign(part=part)[[x.split()[0] for x in schema.split(", ")]]
 
@@ -124,16 +123,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 2024)
     now = now.withColumn("part", F.when(F.col("size") > 0, F.col("rate") - F.col("whole")).otherwise(0.0)).drop("rate")
     done, number = [], 0
     while True:
-        final = leaves == 1
         # Each level is written once: its settled rows are final, its residuals at most one for each slot.
-        now = cut(now.groupBy("source", "slot").applyInPandas(level(number, final), schema))
-        if final:
+        now = cut(now.groupBy("source", "slot").applyInPandas(level(number), schema))
+        if most == 1:
             break
         settled = (F.col("part") == 0) | (F.col("part") == 1)
         done.append(now.filter(settled))
-        leaves = slots(leaves, FAN)
-        now = now.filter(~settled).withColumn("slot", F.col("slot") % leaves)
-        number += 1
+        most, number = slots(most, FAN), number + 1
+        now = now.filter(~settled).withColumn("leaves", F.ceil(F.col("leaves") / FAN)).withColumn("slot", F.pmod("slot", "leaves"))
     for part in done:
         now = now.unionByName(part)
     return now.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.col("part")).cast("int").alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
