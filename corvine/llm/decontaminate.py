@@ -96,6 +96,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = 1_000_000
 
     The ids of these are broadcast if there are at most ``broadcast_rows``, 8 bytes each.
     """
-    bad = cut(overlaps(docs, benchmark).select(F.col("doc_id").alias("bad")).distinct())
+    bad = cut(overlaps(docs, benchmark).select(F.col("doc_id").alias("__bad")).distinct())
     small = bad.count() <= broadcast_rows
-    return docs.join(F.broadcast(bad) if small else bad, F.col("doc_id") == F.col("bad"), "left_anti")
+    return docs.join(F.broadcast(bad) if small else bad, F.col("doc_id") == F.col("__bad"), "left_anti")

@@ -100,7 +100,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     features = rows.mapInArrow(featurise, f"doc_id {dict(rows.dtypes)['doc_id']}, label int, feats array<int>")
     model = features.repartition(1).mapInArrow(learn, "feature int, weight double").toArrow()
     keys, weights = model.column("feature").to_numpy(), model.column("weight").to_numpy()
-    return keys[keys >= 0].astype(np.int64), weights[keys >= 0], float(weights[keys < 0].sum())
+    return keys[keys >= 0].astype(np.int64), weights[keys >= 0], float(weights[keys < 0].sum()) if len(keys) else -1e-3
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataFrame:
