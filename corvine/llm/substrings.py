@@ -4,6 +4,8 @@ A byte goes if a string of LENGTH bytes over it also starts in a document of sma
 count by their first LENGTH bytes only, and of their order only equality matters: buckets are ranges of
 64-bit names of those bytes instead of ranges of the bytes themselves.
 
+Whole copies of a text of a smaller id are settled first by a digest. Then:
+
 1. Cover samples. Positions whose residue modulo V lies in a difference cover are named by their
    W = LENGTH - V + 1 bytes. Any two equal strings of LENGTH bytes hold, at one common offset below V,
    samples of both, which are then equal. A bucket of sample names is sorted at a time, which ranks
@@ -17,20 +19,22 @@ count by their first LENGTH bytes only, and of their order only equality matters
 Of n suffixes named, about n**2 / 2**65 pairs share a name by chance: 0.001 pairs at 1.5e8 suffixes (1 GB of
 text with a sixth of it near shared samples), 2 at 8e9.
 
-What is shuffled are sorted names as differences, each once a chunk, and a bit for each on the way back.
+What is shuffled are compressed texts, sorted names as coded differences, each once a chunk, and a bit for each on
+the way back.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvine.llm import textops
+from corvine.llm.tables import cut
 
 LENGTH = 50
 #: A perfect difference set: every non-zero residue modulo V is a difference of exactly one pair.
@@ -38,6 +42,8 @@ V, COVER = 21, (3, 6, 7, 12, 14)
 W = LENGTH - V + 1
 #: Bytes of text in a chunk, and bytes of text whose names one bucket holds, about.
 CHUNK, BUCKET = 8 << 20, 8 << 20
+#: Ids of whole copies that are broadcast at most, 8 bytes each; more are joined by a shuffle.
+BROADCAST_ROWS = 2_000_000
 #: Bits of a sample's name beyond those that number all samples: one sample in 2**SPARE seems shared by chance,
 #: which costs work and no correctness. Suffixes are named by all 64 bits.
 SPARE = 8
@@ -62,37 +68,41 @@ def names(buf: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
 
 
 def encode(values: np.ndarray) -> bytes:
-    """Sorted uint64 values as differences of the cheapest width; larger ones stand apart in full."""
+    """Sorted uint64 values as Rice-coded differences: low bits as they are, the rest as runs of zeros."""
     steps = np.diff(values, prepend=np.uint64(0))
-    best, width = 9 * len(steps) + 9, 8
-    for k in range(1, 8):
-        cost = k * len(steps) + 8 * int((steps >= np.uint64((1 << 8 * k) - 1)).sum())
-        if cost < best:
-            best, width = cost, k
-    if width == 8:
-        return bytes([8]) + steps.tobytes()
-    top = np.uint64((1 << 8 * width) - 1)
-    apart = steps >= top
-    small = np.where(apart, top, steps).view(np.uint8).reshape(-1, 8)[:, :width]
-    return bytes([width]) + len(steps).to_bytes(8, "little") + small.tobytes() + steps[apart].tobytes()
+    low = min(63, max(0, (int(values[-1]) // len(values)).bit_length() - 1)) if len(values) else 0
+    rest = (steps >> np.uint64(low)).astype(np.int64)
+    runs = np.zeros(int(rest.sum()) + len(steps), np.uint8)
+    runs[np.cumsum(rest + 1) - 1] = 1
+    kept = np.unpackbits(steps.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")[:, :low]
+    return bytes([low]) + len(steps).to_bytes(4, "little") + np.packbits(runs).tobytes() + np.packbits(kept.reshape(-1)).tobytes()
 
 
 def decode(blob: bytes) -> np.ndarray:
-    width = blob[0]
-    if width == 8:
-        return np.cumsum(np.frombuffer(blob, np.uint64, offset=1), dtype=np.uint64)
-    n = int.from_bytes(blob[1:9], "little")
-    steps = np.zeros((n, 8), np.uint8)
-    steps[:, :width] = np.frombuffer(blob, np.uint8, n * width, 9).reshape(n, width)
-    out = steps.reshape(-1).view(np.uint64)
-    out[out == np.uint64((1 << 8 * width) - 1)] = np.frombuffer(blob, np.uint64, offset=9 + n * width)
-    return np.cumsum(out, dtype=np.uint64)
+    low, n = blob[0], int.from_bytes(blob[1:5], "little")
+    size = (n * low + 7) // 8
+    data = np.frombuffer(blob, np.uint8, offset=5)
+    ends = np.flatnonzero(np.unpackbits(data[: len(data) - size]))[:n]
+    steps = (np.diff(ends, prepend=-1) - 1).astype(np.uint64) << np.uint64(low)
+    if low:
+        kept = np.zeros((n, 64), np.uint8)
+        kept[:, :low] = np.unpackbits(data[len(data) - size :], count=n * low).reshape(n, low)
+        steps |= np.packbits(kept, axis=1, bitorder="little").view("<u8").reshape(-1)
+    return np.cumsum(steps, dtype=np.uint64)
+
+
+def packed(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
 
 
 class Chunk:
     """Documents of a range of ids, by id, and their names."""
 
-    def __init__(self, table: pa.Table, sample_bits: int) -> None:
+    def __init__(self, blobs: pa.Table, sample_bits: int) -> None:
+        table = pa.concat_tables([pa.ipc.open_stream(b.as_buffer()).read_all() for b in blobs.column("docs").combine_chunks()]).combine_chunks()
         table = table.take(pa.array(np.argsort(table.column("doc_id").to_numpy(), kind="stable")))
         self.ids = table.column("doc_id").to_numpy()
         self.buf, self.offsets = textops.utf8(table.column("text"))
@@ -227,18 +237,33 @@ def strip(docs: DataFrame, texts: bool = False, chunk_bytes: int = CHUNK, bucket
     or a bucket: memory follows their sizes, or one text if it is longer.
     """
     body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    known = docs.filter(F.col("doc_id").isNotNull())
-    total, n = known.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
+    named = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), body.alias("text"))
+    # Whole copies of a text of a smaller id are settled at once: ids, digests and lengths are all that meets.
+    own = cut(named.select("doc_id", F.sha2("text", 256).alias("digest"), F.octet_length("text").cast("long").alias("n")))
+    least = own.groupBy("digest").agg(F.min("doc_id").alias("first"))
+    copies = cut(own.join(least, "digest").filter("doc_id > first").select("doc_id", "digest", "n"))
+    ids = copies.select(F.col("doc_id").alias("copy")).distinct()
+    if copies.count() <= BROADCAST_ROWS:
+        ids = F.broadcast(ids)
+    # An id that also has another text is kept whole: its rows are then told apart below.
+    mixed = own.join(copies.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.count_distinct("digest").alias("k")).filter("k > 1").select("doc_id")
+    copies = copies.join(mixed, "doc_id", "left_anti")
+    ids = ids.join(mixed, ids["copy"] == mixed["doc_id"], "left_anti") if mixed.limit(1).count() else ids
+    known = named.join(ids, F.col("doc_id") == F.col("copy"), "left_anti")
+    total, n = own.join(ids, F.col("doc_id") == F.col("copy"), "left_anti").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     chunks, buckets = max(1, -(-total // chunk_bytes)), max(1, -(-total // bucket_bytes))
     sample_bits = min(64, max(16, int(total * len(COVER) / V).bit_length() + SPARE))
     # 8 bytes for each chunk; ids below a bound belong to earlier chunks, so chunks are ordered as ids are.
-    bounds = np.array(known.select(F.col("doc_id").cast("double").alias("x")).approxQuantile("x", [k / chunks for k in range(1, chunks)], 0.25 / chunks) if chunks > 1 and n else [])
+    bounds = np.array(own.select(F.col("doc_id").cast("double").alias("x")).approxQuantile("x", [k / chunks for k in range(1, chunks)], 0.25 / chunks) if chunks > 1 and n else [])
 
-    @F.pandas_udf("int")
-    def place(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, ids.to_numpy(float), side="left").astype(np.int32))
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of = np.searchsorted(bounds, batch.column("doc_id").to_numpy().astype(float), side="left")
+            for chunk in np.unique(of):
+                some = pa.Table.from_batches([batch]).filter(pa.array(of == chunk))
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([packed(some)], pa.binary())], names=["chunk", "docs"])
 
-    parts = known.select(F.col("doc_id").cast("long").alias("doc_id"), body.alias("text"), place("doc_id").alias("chunk"))
+    parts = known.mapInArrow(pack, "chunk int, docs binary")
     sent = "bucket int, chunk int, names binary, flags binary"
     back = "chunk int, stage int, bucket int, bits binary"
 
@@ -267,4 +292,11 @@ def strip(docs: DataFrame, texts: bool = False, chunk_bytes: int = CHUNK, bucket
     out = parts.groupBy("chunk").cogroup(ranks.unionByName(firsts).groupBy("chunk")).applyInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>, kept binary")
     none = F.array().cast("array<long>")
     rest = docs.filter(F.col("doc_id").isNull()).select(F.lit(None).cast("long").alias("doc_id"), F.octet_length(body).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(body, 256).alias("kept_sha256"), none.alias("starts"), none.alias("ends"), F.when(F.lit(texts), body).alias("kept"))
-    return out.unionByName(rest)
+    gone = F.col("n") >= LENGTH
+    whole = copies.select("doc_id", F.col("n").alias("n_bytes"), F.when(gone, F.col("n")).otherwise(0).alias("n_removed"), F.when(gone, 1).otherwise(0).cast("long").alias("n_spans"), F.when(gone, F.sha2(F.lit(b""), 256)).otherwise(F.col("digest")).alias("kept_sha256"), F.when(gone, F.array(F.lit(0).cast("long"))).otherwise(none).alias("starts"), F.when(gone, F.array("n")).otherwise(none).alias("ends"))
+    if texts:  # short copies keep their text
+        short = named.filter(F.octet_length("text") < LENGTH).groupBy("doc_id").agg(F.first("text").alias("short"))
+        whole = whole.join(short, "doc_id", "left").withColumn("kept", F.coalesce("short", F.lit(b""))).drop("short")
+    else:
+        whole = whole.withColumn("kept", F.lit(None).cast("binary"))
+    return out.unionByName(whole).unionByName(rest)
