@@ -20,7 +20,7 @@ from corvine.functions import text as tx
 from corvine.functions import vector as vec
 from corvine.functions.session import cut
 from corvine.operators import chunking, csource, evaluation, fusion, lexical, losses, mining, ordering, tokens, vectors
-from corvine.plans import corpus, rag
+from corvine.plans import corpus, rag, search
 from corvine.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -176,6 +176,25 @@ def knn_lsh(spark, d):
     return vectors.knn_lsh(base, _hundredth(base), 10).select("query_id", "rank", "doc_id", _r("score"))
 
 
+def _index(spark, d):
+    docs = _docs(spark, d)
+    return cut(docs.select(F.col("doc_id").alias("chunk_id"), "path", F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("name"), F.col("lang").alias("kind"), F.lit(1).alias("line"), F.col("text").alias("code"), search.hashed_vector(F.col("text")).alias("embedding")))
+
+
+def _questions(spark, d):
+    return cut(_bench(spark, d).select(F.col("item_id").alias("query_id"), "text", search.hashed_vector(F.col("text")).alias("embedding")))
+
+
+@query
+def search_dense(spark, d):
+    return search.search(_index(spark, d), _questions(spark, d), 10, "dense").select("query_id", "rank", "chunk_id", "path", "snippet", _r("score"))
+
+
+@query
+def search_rerank(spark, d):
+    return search.search(_index(spark, d), _questions(spark, d), 10, "rerank").select("query_id", "rank", "chunk_id", "path", "snippet", _r("score"))
+
+
 # Fusion
 
 

@@ -53,12 +53,12 @@ def hard_negatives(rows: DataFrame, seed: int = 42) -> DataFrame:
 
 def grouped_batches(rows: DataFrame, group: str, size: int, seed: int = 42) -> DataFrame:
     """rows (i, group) -> i, batch, place, full: blocks of ``size`` of one group in shuffled order; the groups' tails make mixed batches, the last maybe short."""
-    keyed = rows.select("i", F.col(group).alias("g"), seeded(seed, "i").alias("h"))
-    within = Window.partitionBy("g").orderBy("h", "i")
-    numbered = keyed.withColumn("n", F.count("*").over(Window.partitionBy("g"))).withColumn("at", F.row_number().over(within) - 1)
+    # Places come from a range sort of all rows, so a group of any size is dealt over many tasks.
+    keyed = placed(rows.select("i", F.col(group).alias("g"), seeded(seed, "i").alias("h")), [F.col("g"), F.col("h"), F.col("i")])
+    sizes = keyed.groupBy(F.col("g").alias("__g")).agg(F.count("*").alias("n"), F.min("pos").alias("from"))
+    numbered = keyed.join(sizes, F.col("g").eqNullSafe(F.col("__g"))).select("g", "i", "h", "n", (F.col("pos") - F.col("from")).alias("at"))
     whole = F.floor(F.col("n") / size) * size
     full = numbered.filter(F.col("at") < whole).select("i", F.concat_ws("#", "g", F.floor(F.col("at") / size).cast("string")).alias("batch"), (F.col("at") % size).cast("long").alias("place"), F.lit(True).alias("full"))
-    # At most size - 1 rows of each group are left; they are numbered without one task for all.
     rest = placed(numbered.filter(F.col("at") >= whole).select("i", "h"), [F.col("h"), F.col("i")])
     tails = rest.select("i", F.concat_ws("#", F.lit("tail"), F.floor(F.col("pos") / size).cast("string")).alias("batch"), (F.col("pos") % size).cast("long").alias("place"), F.lit(False).alias("full"))
     return full.unionByName(tails)
@@ -69,8 +69,10 @@ def distinct_batches(rows: DataFrame, text: str, size: int, seed: int = 42) -> D
 
     The n-th copies of all texts form layer n, and each layer is cut into batches of ``size``.
     """
-    copies = rows.withColumn("layer", F.row_number().over(Window.partitionBy(F.md5(F.col(text))).orderBy(seeded(seed, "i"), "i")))
-    at = placed(copies.select("i", "layer", seeded(seed, "i").alias("h")), [F.col("layer"), F.col("h"), F.col("i")])
+    sorted_ = placed(rows.select("i", F.md5(F.col(text)).alias("t"), seeded(seed, "i").alias("h")), [F.col("t"), F.col("h"), F.col("i")])
+    heads = sorted_.groupBy(F.col("t").alias("__t")).agg(F.min("pos").alias("head"))
+    copies = sorted_.join(heads, F.col("t").eqNullSafe(F.col("__t"))).select("i", "h", (F.col("pos") - F.col("head") + 1).alias("layer"))
+    at = placed(copies, [F.col("layer"), F.col("h"), F.col("i")])
     first = at.groupBy("layer").agg(F.min("pos").alias("from"))
     return at.join(first, "layer").select("i", F.concat_ws("#", F.col("layer").cast("string"), F.floor((F.col("pos") - F.col("from")) / size).cast("string")).alias("batch"))
 

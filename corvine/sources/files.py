@@ -6,6 +6,7 @@ import os
 from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,6 +89,15 @@ def index_info(index: DataFrame) -> DataFrame:
 
 
 def write_tokens(windows: DataFrame, path: str) -> None:
-    windows.write.mode("overwrite").parquet(path)
+    """Windows of token ids as Parquet, in order of the window within each file."""
+    windows.repartitionByRange("window").sortWithinPartitions("window").write.mode("overwrite").parquet(path)
 
 
+def token_bytes(windows: DataFrame) -> DataFrame:
+    """window, ids -> window, data: the ids as little-endian 16-bit numbers, as flat token files hold them."""
+
+    @F.pandas_udf("binary")
+    def pack(ids: pd.Series) -> pd.Series:
+        return ids.map(lambda x: np.asarray(x, "<u2").tobytes())
+
+    return windows.select("window", pack("ids").alias("data"))

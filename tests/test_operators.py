@@ -9,7 +9,7 @@ from corvine import catalog
 from corvine.functions import text as tx
 from corvine.functions import vector as vec
 from corvine.operators import chunking, evaluation, fusion, lexical, losses, mining, ordering, tokens
-from corvine.plans import corpus, rag
+from corvine.plans import corpus, rag, search
 from corvine.sources import files
 from corvine.streaming import ingest
 
@@ -278,3 +278,22 @@ def test_stream_of_documents_is_chunked_once(spark, tmp_path):
 def test_every_query_has_rows_on_small_tables(spark):
     for name in ("knn_lsh", "kdoc_mine", "extract_definitions", "chunk_with_fallback", "scan_tree", "hash_split_blake2b", "bm25_topk"):
         assert catalog.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+@pytest.mark.parametrize("mode", ["dense", "hybrid", "rerank"])
+def test_search_finds_the_chunk_that_holds_the_words(spark, mode):
+    rows = [(i, "a/b.c", f"n{i}", "function", 1, f"alpha{i} beta{i} gamma{i} common\nrest") for i in range(30)]
+    index = spark.createDataFrame(rows, "chunk_id long, path string, name string, kind string, line int, code string").withColumn("embedding", search.hashed_vector(F.col("code"), 256))
+    asked = spark.createDataFrame([(1, "beta7 gamma7"), (2, "common alpha12")], "query_id long, text string").withColumn("embedding", search.hashed_vector(F.col("text"), 256))
+    hits = search.search(index, asked, 3, mode)
+    got = {(r.query_id, r["rank"]): r for r in hits.collect()}
+    assert len(got) == 6 and got[1, 1].chunk_id == 7 and got[2, 1].chunk_id == 12 and got[1, 1].snippet.startswith("alpha7") and "\n" not in got[1, 1].snippet
+    with pytest.raises(ValueError, match="mode"):
+        search.search(index, asked, 3, "x")
+
+
+def test_token_files_hold_16_bits(spark, tmp_path):
+    w = spark.createDataFrame([(1, [7, 65535]), (0, [3, 256])], "window long, ids array<int>")
+    assert {r.window: bytes(r.data) for r in files.token_bytes(w).collect()} == {0: b"\x03\x00\x00\x01", 1: b"\x07\x00\xff\xff"}
+    files.write_tokens(w, str(tmp_path / "t"))
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 2
