@@ -41,7 +41,7 @@ LENGTH = 50
 V, COVER = 21, (3, 6, 7, 12, 14)
 W = LENGTH - V + 1
 #: Bytes of text in a chunk, and bytes of text whose names one bucket holds, about.
-CHUNK, BUCKET = 8 << 20, 8 << 20
+CHUNK, BUCKET = 4 << 20, 8 << 20
 #: Ids of whole copies that are broadcast at most, 8 bytes each; more are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
 #: Bits of a sample's name beyond those that number all samples: one sample in 2**SPARE seems shared by chance,
