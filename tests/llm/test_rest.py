@@ -56,6 +56,40 @@ def test_overlaps_equal_brute_force(spark):
     assert got == want
 
 
+def test_contaminated_equals_brute_force_of_the_statement(spark):
+    rng = random.Random(9)
+    bench = [(i, prose(700 + i, n)) for i, n in enumerate([5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16, 16, 20, 20, 25, 25, 33, 40, 60])]
+    rows = []
+    for i in range(200):
+        words = prose(5000 + i, 40).split()
+        item = bench[i % len(bench)][1].split()
+        for k in rng.sample(range(len(item)), rng.randint(0, len(item) // 4)):
+            item[k] = f"zz{k}"
+        words[20:20] = item
+        rows.append((i, " ".join(words), "", ""))
+
+    def meets(a, b):
+        for shift in range(1 - len(b), len(a)):
+            same = [a[shift + j] == w for j, w in enumerate(b) if 0 <= shift + j < len(a)]
+            if len(b) < 13:
+                if 5 * sum(same) >= 4 * len(b):
+                    return True
+                continue
+            for x in range(len(same)):
+                agree = 0
+                for y in range(x, len(same)):
+                    agree += same[y]
+                    if agree >= 13 and 5 * (y - x + 1 - agree) <= y - x + 1:
+                        return True
+        return False
+
+    want = {(i, j) for i, t, _, _ in rows for j, p in bench if meets(t.split(), p.split())}
+    items = spark.createDataFrame(bench, "item_id long, text string")
+    docs = table(spark, rows)
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, items).collect()} == want
+    assert sorted(r.doc_id for r in decontaminate.clean(docs, items).collect()) == sorted(set(range(200)) - {i for i, _ in want})
+
+
 def test_more_passes_find_the_same(spark, monkeypatch):
     bench = spark.createDataFrame([(i, prose(40 + i, 30)) for i in range(9)], "item_id long, text string")
     docs = table(spark, [(i, prose(90 + i, 20) + " " + prose(40 + i, 30), "", "") for i in range(9)])
