@@ -31,10 +31,11 @@ def canonical(text: Column) -> Column:
     """Lower case, no lines that are a copyright notice, words only, one blank between, canonical spellings.
 
     A line is a copyright notice if it begins, after signs and blanks, with "copyright" or "(c)" and a year
-    or a name follows on it. Null gives the empty text.
+    or a name follows on it. "Copyright" before nothing, or before "notice", "holder" or "owner", is a
+    wrapped line of the text and stays. Null gives the empty text.
     """
     x = F.lower(F.coalesce(text, F.lit("")))
-    x = F.regexp_replace(x, r"(?m)^[^\p{L}\p{N}\n(©]*(copyright|\(c\)|©)[^\n]*$", " ")
+    x = F.regexp_replace(x, r"(?m)^[^\p{L}\p{N}\n(©]*(copyright(?![^\p{L}\p{N}\n]*(?:$|(?:notices?|holders?|owners?)(?![\p{L}\p{N}])))|\(c\)|©)[^\n]*$", " ")
     x = F.concat(F.lit(" "), F.regexp_replace(x, r"[^\p{L}\p{N}]+", "  "), F.lit(" "))
     for variant, same in SPELLINGS:
         x = F.replace(x, F.lit(f" {variant.replace(' ', '  ')} "), F.lit(f" {same} "))

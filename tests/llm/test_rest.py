@@ -1,4 +1,5 @@
 import random
+import textwrap
 
 import numpy as np
 import pytest
@@ -138,6 +139,13 @@ def test_licenses_in_other_dress(spark, odd, none):
     assert license.scan(odd, license.digests(spark), broadcast_rows=1).count() == odd.count() and license.scan(none, license.digests(spark)).count() == 0
 
 
+def test_known_texts_wrapped_at_any_width(spark):
+    texts = [(k, "Copyright (c) 2020 Ann\n\n" + textwrap.fill(t, width)) for k, t in license.KNOWN for width in range(20, 101)]
+    rows = [(i, t, "", "") for i, (_, t) in enumerate(texts)]
+    got = {r.doc_id: r.license for r in license.scan(table(spark, rows), license.digests(spark)).collect()}
+    assert got == {i: k for i, (k, _) in enumerate(texts)}
+
+
 # Neighbours
 
 
