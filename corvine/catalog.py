@@ -501,14 +501,14 @@ def pretoken_counts(spark, d):
 
 @query
 def bpe_merges(spark, d):
-    merges = tokens.train_bpe(tokens.pretoken_counts(_docs(spark, d)), 1500)
+    merges = tokens.train_bpe(tokens.pretoken_counts(_docs(spark, d)))
     return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(merges)], "rank int, left string, right string")
 
 
 @query
 def encode_docs(spark, d):
     docs = _docs(spark, d)
-    encode = tokens.encoder(tokens.train_bpe(tokens.pretoken_counts(docs), 1500))
+    encode = tokens.encoder(tokens.train_bpe(tokens.pretoken_counts(docs)))
     return docs.select("doc_id", F.concat(encode(F.col("text")), F.array(F.lit(tokens.SEP))).alias("ids")).select("doc_id", F.size("ids").alias("n"), F.md5(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("digest"))
 
 

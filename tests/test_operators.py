@@ -254,6 +254,15 @@ def test_bpe_equals_the_public_trainer(spark):
         assert bytes(letters[c] for i in r.ids for c in back[i]).decode() == r.text
 
 
+def test_registered_bpe_learns_past_a_small_vocabulary(spark):
+    from corvine import catalog
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = catalog.bpe_merges(spark, "/root/testdata/sf0.001").orderBy("rank").collect()
+    assert [(r.left, r.right) for r in got] == tokens.train_bpe(tokens.pretoken_counts(docs), 32_768)
+    assert len(got) > 1_500
+
+
 def test_template(spark):
     row = spark.createDataFrame([([7, 8], [9])], "a array<int>, b array<int>").select(tokens.template(F.col("a")).alias("x"), tokens.template(F.col("a"), F.col("b")).alias("y")).first()
     assert (row.x, row.y) == ([2, 7, 8, 3], [2, 7, 8, 3, 9, 3])
