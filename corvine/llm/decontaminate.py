@@ -136,8 +136,15 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
     """The rows of docs, columns as they are, without those that overlap a benchmark item.
 
-    The ids of these are broadcast if there are at most ``broadcast_rows``, 8 bytes each.
+    The ids of these are broadcast if there are at most ``broadcast_rows``, 8 bytes each. Rows with a null
+    id are told apart by their text.
     """
     bad = cut(contaminated(docs, benchmark).select(F.col("doc_id").alias("__bad")).distinct())
     small = bad.count() <= broadcast_rows
-    return docs.join(F.broadcast(bad) if small else bad, F.col("doc_id") == F.col("__bad"), "left_anti")
+    kept = docs.join(F.broadcast(bad) if small else bad, F.col("doc_id") == F.col("__bad"), "left_anti")
+    if not bad.filter("__bad IS NULL").limit(1).count():
+        return kept
+    nameless = docs.filter("doc_id IS NULL")
+    texts = nameless.select(F.sha2("text", 256).alias("doc_id"), "text")
+    go = cut(contaminated(texts, benchmark).select(F.col("doc_id").alias("__go")).distinct())
+    return kept.filter("doc_id IS NOT NULL").unionByName(nameless.join(go, F.sha2("text", 256) == F.col("__go"), "left_anti"))

@@ -140,11 +140,22 @@ def take(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), broadcast_rows:
     """The documents that the mix takes, columns as before and copies, size, source_size, target, taken.
 
     Documents without a copy, and so those without words, are left out. Rows that share an id must be
-    the same document: they get the copies of one of them each. Columns of docs with one of the added
-    names give way. Up to ``broadcast_rows`` rows of about 50 bytes are broadcast, more are shuffled.
+    the same document: they get the copies of one of them each. Rows with a null id are documents of
+    their own: each gets the copies of one row of the mix with its source and size. Columns of docs with
+    one of the added names give way. Up to ``broadcast_rows`` rows of about 50 bytes are broadcast, more are shuffled.
     """
     added = ["copies", "size", "source_size", "target", "taken"]
-    plan = cut(mix(docs, weights).filter("copies > 0").select(F.col("doc_id").alias("__id"), *added).dropDuplicates(["__id"]))
+    every = cut(mix(docs, weights).filter("copies > 0").select(F.col("doc_id").alias("__id"), "source", *added))
+    plan = every.filter("__id IS NOT NULL").drop("source").dropDuplicates(["__id"])
     small = plan.count() <= broadcast_rows
     own = docs.drop(*added)
-    return own.join(F.broadcast(plan) if small else plan, F.col("doc_id") == F.col("__id")).select(*own.columns, *added)
+    known = own.join(F.broadcast(plan) if small else plan, F.col("doc_id") == F.col("__id")).select(*own.columns, *added)
+    nameless = every.filter("__id IS NULL")
+    if not nameless.limit(1).count():
+        return known
+    # Rows of one source and size are numbered on both sides and meet one to one.
+    number = lambda order: F.row_number().over(Window.partitionBy("__source", "__size").orderBy(order))
+    plan = nameless.withColumn("__source", F.col("source")).withColumn("__size", F.col("size")).withColumn("__n", number(F.desc("copies"))).drop("source", "__id")
+    rows = own.filter("doc_id IS NULL").withColumn("__source", F.col("source")).withColumn("__size", size(F.col("text"))).withColumn("__n", number(F.xxhash64("text")))
+    same = [rows[c].eqNullSafe(plan[c]) for c in ("__source", "__size", "__n")]
+    return known.unionByName(rows.join(plan, same).select(*own.columns, *added))

@@ -57,3 +57,13 @@ def test_odd_and_empty_tables(odd, none):
     taken = mixing.take(odd)
     assert [c for c in odd.columns if c not in ("size", "copies")] == taken.columns[:-5] and taken.filter("copies < 1").count() == 0
     assert mixing.mix(none).count() == 0
+
+
+def test_rows_with_a_null_id_are_taken_too(spark):
+    rows = [(None if i % 3 else i, prose(i, 5 + i % 4), "en", None if i % 2 else "a") for i in range(60)]
+    docs = table(spark, rows)
+    taken = mixing.take(docs).collect()
+    plan = mixing.mix(docs).filter("copies > 0").collect()
+    assert sum(r.taken for r in taken) == sum(r.taken for r in plan) and len(taken) == len(plan)
+    assert sum(r.doc_id is None for r in taken) == sum(r.doc_id is None for r in plan) > 0
+    assert len({r.text for r in taken}) == len(taken)

@@ -91,6 +91,12 @@ def test_contaminated_equals_brute_force_of_the_statement(spark):
     assert sorted(r.doc_id for r in decontaminate.clean(docs, items).collect()) == sorted(set(range(200)) - {i for i, _ in want})
 
 
+def test_contaminated_rows_with_a_null_id_go(spark):
+    docs = table(spark, [(None, prose(1, 30) + " " + prose(2, 30), "", ""), (None, prose(3, 40), "", ""), (1, prose(2, 30), "", ""), (None, None, "", "")])
+    kept = decontaminate.clean(docs, spark.createDataFrame([(1, prose(2, 30))], "item_id long, text string"))
+    assert sorted(str(r.text) for r in kept.collect()) == sorted([prose(3, 40), "None"])
+
+
 def test_more_passes_find_the_same(spark, monkeypatch):
     bench = spark.createDataFrame([(i, prose(40 + i, 30)) for i in range(9)], "item_id long, text string")
     docs = table(spark, [(i, prose(90 + i, 20) + " " + prose(40 + i, 30), "", "") for i in range(9)])
