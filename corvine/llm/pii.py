@@ -75,16 +75,28 @@ def base(text: str) -> list[tuple[int, int, int]]:
 _SPACE = " \t\n\r\f\v"
 _TOKEN_END = re.compile(r"[^ \t\n\r\f\v]*+")
 _MARK = re.compile("[0-9@]")
+_SHAPED = re.compile(r"[0-9]++|[^\W\d_]++|.", re.S)
+#: What a shape sees of a token: characters and pieces.
+SEEN, PIECES = 200, 24
+#: Parts of a token that goes beyond that.
+_PART = re.compile(r"[A-Za-z0-9._%+()@-]++")
 
 
 def tokens(text: str) -> list[tuple[int, int]]:
-    """Words with a digit or an at sign. All others are outside by construction of the field."""
+    """Words with a digit or an at sign. All others are outside by construction of the field.
+
+    A word that a shape doesn't see whole, such as JSON without blanks, is split at all signs that personal
+    data don't hold, and its parts are judged one by one.
+    """
     out, done = [], 0
     m = _MARK.search(text)
     while m:
         start = max(done, 1 + max(text.rfind(c, done, m.start()) for c in _SPACE))
         done = _TOKEN_END.match(text, m.start()).end()
-        out.append((start, done))
+        if done - start > SEEN or done - start > PIECES < len(_SHAPED.findall(text, start, done)):
+            out.extend(p.span() for p in _PART.finditer(text, start, done) if _MARK.search(p[0]))
+        else:
+            out.append((start, done))
         m = _MARK.search(text, done)
     return out
 
@@ -103,7 +115,7 @@ def runs(text: str, spans: list[tuple[int, int]]) -> list[list[tuple[int, int]]]
 def shape(word: str) -> tuple[str, str]:
     """Runs of letters as a, of digits as d, other signs kept; then the same with the digits counted."""
     plain, sized, last = [], [], ""
-    for m in re.finditer(r"[0-9]++|[^\W\d_]++|.", word[:200], re.S):
+    for m in _SHAPED.finditer(word[:SEEN]):
         c = m[0]
         kind = "d" if "0" <= c[0] <= "9" else "a" if c[0].isalpha() else c
         if kind == last and kind not in "da":
@@ -111,7 +123,7 @@ def shape(word: str) -> tuple[str, str]:
         plain.append(kind)
         sized.append(f"d{min(len(c), 20)}" if kind == "d" else kind)
         last = kind
-    return "".join(plain[:24]), "".join(sized[:24])
+    return "".join(plain[:PIECES]), "".join(sized[:PIECES])
 
 
 def features(text: str, run: list[tuple[int, int]]) -> list[list[str]]:
@@ -121,7 +133,7 @@ def features(text: str, run: list[tuple[int, int]]) -> list[list[str]]:
     for k, (s, e) in enumerate(run):
         word = text[s:e].strip(".,;:!?\"'")
         plain, sized = shape(word)
-        digits = re.sub("[^0-9]", "", word[:200])
+        digits = re.sub("[^0-9]", "", word[:SEEN])
         near = [f"pre={shape(text[run[k - 1][0] : run[k - 1][1]])[1]}"] if k else [cue, f"{cue}|{sized}", "pre=start"]
         post = f"post={shape(text[run[k + 1][0] : run[k + 1][1]])[1]}" if k + 1 < len(run) else "post=end"
         good = "luhn" if 14 <= len(digits) <= 19 and luhn(digits) else "plain"

@@ -47,6 +47,13 @@ def test_the_field_learns_its_table_and_viterbi_is_exact():
         assert tuple(path) == max(itertools.product(range(3), repeat=4), key=value)
 
 
+def test_long_tokens_are_judged_part_by_part():
+    m = pii.train()
+    assert pii.find(["sales@localhost"], m)[0][1] == [(0, 0, 15)]
+    for head, tail in (('{"k":"' + "v" * 240 + '","mail":"', '"}'), ("a,b;" * 12, ",c"), ("\u6f22" * 300, "\u5b57")):
+        assert pii.find([head + "sales@localhost" + tail], m)[0][1] == [(len(head), 0, len(head) + 15)]
+
+
 def test_odd_and_empty_tables(spark, odd, none):
     got = pii.report(odd).collect()
     assert len(got) == odd.count() and all(r.n_email + r.n_ip + r.n_card + r.n_phone == 0 for r in got)
