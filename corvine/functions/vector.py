@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often and inside whatever lambda the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -17,7 +24,8 @@ def norm(a: Column) -> Column:
 def normalize(a: Column) -> Column:
     """Unit length; a zero vector stays zero."""
     n = norm(a)
-    return F.transform(a, lambda x: x.cast("double") / F.when(n > 0, n).otherwise(1.0))
+    both = F.struct(a.alias("a"), F.when(n > 0, n).otherwise(1.0).alias("n"))
+    return let(both, lambda v: F.transform(v["a"], lambda x: x.cast("double") / v["n"]))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -28,4 +36,5 @@ def quantize(a: Column, bits: int = 8) -> Column:
     """struct(scale, codes): symmetric whole numbers of ``bits`` bits, the largest component at the end of the range."""
     top = F.array_max(F.transform(a, lambda x: F.abs(x.cast("double"))))
     scale = F.when(top > 0, top / (2 ** (bits - 1) - 1)).otherwise(1.0)
-    return F.struct(scale.alias("scale"), F.transform(a, lambda x: F.round(x.cast("double") / scale).cast("int")).alias("codes"))
+    both = F.struct(a.alias("a"), scale.alias("scale"))
+    return let(both, lambda v: F.struct(v["scale"].alias("scale"), F.transform(v["a"], lambda x: F.round(x.cast("double") / v["scale"]).cast("int")).alias("codes")))

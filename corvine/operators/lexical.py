@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvine.functions.session import cut
 from corvine.functions.text import identifier_tokens
 from corvine.operators.ordering import ranked
 
@@ -51,6 +52,8 @@ def bm25(tokens: DataFrame, queries: DataFrame) -> DataFrame:
     few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
     every = tokens.select("doc_id", F.size("tokens").alias("size"), F.explode("tokens").alias("term"))
     postings = every.join(F.broadcast(terms) if few else terms, "term", "left_semi").groupBy("doc_id", "size", "term").agg(F.count("*").alias("tf"))
+    # Counted for the document frequencies and read again for the scores.
+    postings = cut(postings)
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     stats = F.broadcast(doc_stats(tokens).select("n_docs", "avg_len"))  # one row
     known = df.crossJoin(stats).select("term", idf_of(F.col("n_docs"), F.col("df")).alias("idf"), "avg_len")
@@ -67,10 +70,14 @@ def bm25_topk(tokens: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     A query with under k scored documents is filled up from the k lowest ids; more can't be needed.
     """
     order = [F.desc(F.round("score", 9)), F.col("doc_id")]
-    best = ranked(bm25(tokens, queries), ["query_id"], order, k).drop("rank")
+    best = cut(ranked(bm25(tokens, queries), ["query_id"], order, k))
+    short = cut(queries.select("query_id").join(best.filter(F.col("rank") == k).select("query_id"), "query_id", "left_anti"))
+    if not short.limit(1).count():
+        return best
     lowest = tokens.select("doc_id").orderBy("doc_id").limit(k)
-    fill = queries.select("query_id").crossJoin(F.broadcast(lowest)).join(best, ["query_id", "doc_id"], "left_anti").withColumn("score", F.lit(0.0))
-    return ranked(best.unionByName(fill), ["query_id"], order, k)
+    fill = short.crossJoin(F.broadcast(lowest)).join(best, ["query_id", "doc_id"], "left_anti").withColumn("score", F.lit(0.0))
+    more = ranked(best.drop("rank").join(short, "query_id", "left_semi").unionByName(fill), ["query_id"], order, k)
+    return best.join(short, "query_id", "left_anti").unionByName(more)
 
 
 def bm25_in_pools(pool: DataFrame, tokens: DataFrame, queries: DataFrame) -> DataFrame:

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvine.functions.session import cut
-from corvine.functions.text import identifier_tokens, snippet
-from corvine.functions.vector import normalize
+from corvine.functions.text import identifier_tokens, md5_number, snippet
+from corvine.functions.vector import let, normalize
 from corvine.operators import fusion, lexical, vectors
 
 
@@ -16,8 +16,9 @@ def hashed_vector(text: Column, width: int = 64) -> Column:
 
     It finds shared words, not meaning. Any function from text to vectors can take its place.
     """
-    bins = F.transform(identifier_tokens(text), lambda t: F.pmod(F.xxhash64(t), F.lit(width)).cast("int"))
-    return normalize(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda d: F.size(F.filter(bins, lambda b: b == d)).cast("double")))
+    bins = F.transform(identifier_tokens(text), lambda t: (md5_number(t, 7) % width).cast("int"))
+    places = F.sequence(F.lit(0), F.lit(width - 1))
+    return normalize(let(bins, lambda b: F.transform(places, lambda d: (F.size(b) - F.size(F.array_remove(b, d))).cast("double"))))
 
 
 def search(index: DataFrame, queries: DataFrame, k: int = 10, mode: str = "dense", code: bool = False) -> DataFrame:
