@@ -19,7 +19,7 @@ from corvine.catalog_sql import ORACLES
 from corvine.functions import text as tx
 from corvine.functions import vector as vec
 from corvine.functions.session import cut
-from corvine.operators import chunking, csource, evaluation, fusion, lexical, losses, mining, ordering, tokens, vectors
+from corvine.operators import chunking, csource, evaluation, fusion, lexical, losses, matching, mining, ordering, tokens, vectors
 from corvine.plans import corpus, rag, search
 from corvine.sources import files
 
@@ -72,11 +72,9 @@ def _dense(spark: SparkSession, d: str, pool: int) -> DataFrame:
 
 
 def _gold(spark: SparkSession, d: str) -> DataFrame:
-    """item_id, doc_id: the lowest document that holds a passage as it stands. Candidates share its first 40 characters' line."""
-    docs = _docs(spark, d).select("doc_id", "text")
-    bench = _bench(spark, d)
-    # The benchmark is the stated query set: it streams past the documents.
-    return docs.join(F.broadcast(bench.select("item_id", F.col("text").alias("passage"))), F.col("text").contains(F.col("passage"))).groupBy("item_id").agg(F.min("doc_id").alias("doc_id"))
+    """item_id, doc_id: the lowest document that holds a passage as it stands."""
+    held = matching.containing(_docs(spark, d), _bench(spark, d).select("item_id", F.col("text").alias("passage")))
+    return cut(held.groupBy("item_id").agg(F.min("doc_id").alias("doc_id")))
 
 
 def _r(c: str, n: int = 6):
@@ -190,6 +188,11 @@ def search_dense(spark, d):
     return search.search(_index(spark, d), _questions(spark, d), 10, "dense").select("query_id", "rank", "chunk_id", "path", "snippet", _r("score"))
 
 
+@query
+def search_hybrid(spark, d):
+    return search.search(_index(spark, d), _questions(spark, d), 10, "hybrid").select("query_id", "rank", "chunk_id", "path", "snippet", _r("score"))
+
+
 @query
 def search_rerank(spark, d):
     return search.search(_index(spark, d), _questions(spark, d), 10, "rerank").select("query_id", "rank", "chunk_id", "path", "snippet", _r("score"))
@@ -512,13 +515,37 @@ def encode_docs(spark, d):
     return docs.select("doc_id", F.concat(encode(F.col("text")), F.array(F.lit(tokens.SEP))).alias("ids")).select("doc_id", F.size("ids").alias("n"), F.md5(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("digest"))
 
 
-# C sources: the tables hold none, so these bring their own
+# C sources: the tables hold none, so documents are dressed as such, in four forms by doc_id
+
+C_FORMS = {
+    0: "/**\n * fn{id} - {words}\n * @a: value number {n}\n */\nstatic int fn{id}(int a)\n{{\n\treturn a + {n};\n}}\n",
+    1: "int proto{id}(int a);\n\n// {words}\nstruct pair *\nmake{id}(struct pair *p)\n{{\n\tchar *s = \"}}\";\n\treturn p; /* }} */\n}}\n",
+    2: "{words}\n{words}\n\n",
+    3: "typedef struct node{id} {{\n\tint x;\n\tchar c;\n}} node{id}_t;\n#define F{id}(x) {{ x }}\n",
+}
+
+
+def _c_corpus(spark, d):
+    words = F.trim(F.substring(F.regexp_replace("text", "[^a-z]+", " "), 1, 60))
+    form = F.lit("")
+    for k, body in C_FORMS.items():
+        whole = F.lit(body.format(id="<id>", words="<words>", n="<n>"))
+        for name, value in (("<id>", F.col("doc_id").cast("string")), ("<words>", words), ("<n>", F.col("n_chars").cast("string"))):
+            whole = F.replace(whole, F.lit(name), value)
+        form = F.when(F.col("doc_id") % 4 == k, whole).otherwise(form)
+    return _docs(spark, d).select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".c")).alias("path"), form.alias("text"))
+
 
+#: Files for the scan of a tree, which only a file system holds.
 C_SOURCES = {
-    "lib/ring.c": '/**\n * ring_push - append one item to the ring buffer\n * @r: the ring\n * @x: value to append\n *\n * Overwrites the oldest item once the ring is full.\n */\nint ring_push(struct ring *r, int x)\n{\n\tif (r->n == 4) {\n\t\tr->head++; /* } */\n\t}\n\tr->buf[r->n++ % 4] = x;\n\treturn 0;\n}\n\n// helper without documentation\nstatic int\nring_size(struct ring *r)\n{\n\tchar c = \'}\';\n\treturn r->n + (c == "}"[0]);\n}\n',
-    "lib/ring.h": "/**\n * struct ring - a ring buffer that keeps the last four values\n * @n: items pushed so far in total\n * @head: index of the oldest item\n */\nstruct ring {\n\tint n;\n\tint head;\n\tint buf[4];\n};\n\nint ring_push(struct ring *r, int x);\n",
-    "lib/table.h": "".join(f"#define VALUE_{i} {i}\n" for i in range(70)),
+    "lib/ring.c": "int ring_push(struct ring *r, int x)\n{\n\treturn 0;\n}\n",
+    "lib/_hidden.h": "struct ring {\n\tint n;\n};\n",
+    "lib/table.h": "".join(f"#define VALUE_{i} {i}\n" for i in range(500)),
+    "lib/table_short.h": "".join(f"#define VALUE_{i} {i}\n" for i in range(499)),
+    "lib/nul.c": "int x;\n\0\n",
+    "lib/empty.c": "",
     "lib/notes.txt": "not a source\n",
+    ".git/a.c": "int skipped;\n",
 }
 
 
@@ -532,10 +559,6 @@ def _tree(spark):
     return root
 
 
-def _c_corpus(spark):
-    return spark.createDataFrame([(k, v) for k, v in C_SOURCES.items() if k.endswith((".c", ".h"))], files.CORPUS)
-
-
 @query
 def scan_tree(spark, d):
     return corpus.judged(files.scan_tree(spark, _tree(spark))).select("path", "disposition", "length")
@@ -543,16 +566,16 @@ def scan_tree(spark, d):
 
 @query
 def extract_definitions(spark, d):
-    return csource.extract_definitions(_c_corpus(spark))
+    return csource.extract_definitions(_c_corpus(spark, d))
 
 
 @query
 def kdoc_mine(spark, d):
-    return csource.mine_pairs(_c_corpus(spark))
+    return csource.mine_pairs(_c_corpus(spark, d))
 
 
 @query
 def chunk_with_fallback(spark, d):
-    return chunking.chunk(_c_corpus(spark))
+    return chunking.chunk(_c_corpus(spark, d))
 
 

@@ -33,7 +33,31 @@ def knn(k: int, more: str = "") -> str:
 
 GOLD = "gold AS (SELECT item_id, min(doc_id) AS doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY item_id)"
 DENSE = f"{NORMED}, ds AS (SELECT q.vec_id AS query_id, b.vec_id AS doc_id, list_dot_product(q.v, b.v) AS score FROM nv q, nv b WHERE q.vec_id IN (SELECT item_id FROM benchmark) AND b.vec_id IN (SELECT doc_id FROM documents)), dense AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM ds QUALIFY rank <= 200)"
-FUSE = "fu AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.doc_id, b.doc_id) AS doc_id, a.rank AS r0, b.rank AS r1, coalesce(1.0 / (60 + a.rank), 0) + coalesce(1.0 / (60 + b.rank), 0) AS rrf FROM one a FULL JOIN two b ON a.query_id = b.query_id AND a.doc_id = b.doc_id), best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 12) DESC, r0 NULLS LAST, r1 NULLS LAST) AS rank FROM fu QUALIFY rank <= 10) SELECT query_id, rank, doc_id, round(rrf, 9) AS rrf FROM best"
+FUSED = "fu AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.doc_id, b.doc_id) AS doc_id, a.rank AS r0, b.rank AS r1, coalesce(1.0 / (60 + a.rank), 0) + coalesce(1.0 / (60 + b.rank), 0) AS rrf FROM one a FULL JOIN two b ON a.query_id = b.query_id AND a.doc_id = b.doc_id), best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 12) DESC, r0 NULLS LAST, r1 NULLS LAST) AS rank FROM fu QUALIFY rank <= 10)"
+FUSE = f"{FUSED} SELECT query_id, rank, doc_id, round(rrf, 9) AS rrf FROM best"
+POOLED = f"""{TOK}, {ASKED}, lt AS (SELECT query_id, doc_id, rank, len(tokens) AS size, tokens FROM dense JOIN tok USING (doc_id)),
+st AS (SELECT query_id, count(*) AS n_docs, avg(size) AS avg_len FROM lt GROUP BY 1), ex AS (SELECT query_id, doc_id, size, unnest(tokens) AS term FROM lt),
+tf AS (SELECT query_id, doc_id, size, term, times, count(*) AS tf FROM ex JOIN qt USING (query_id, term) GROUP BY ALL), df AS (SELECT query_id, term, count(*) AS df FROM tf GROUP BY ALL),
+bm AS (SELECT query_id, doc_id, sum(times * greatest(ln((n_docs - df + 0.5) / (df + 0.5) + 1.0), 1e-6) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * size / greatest(avg_len, 1e-9)))) AS score FROM tf JOIN df USING (query_id, term) JOIN st USING (query_id) GROUP BY ALL),
+one AS (SELECT query_id, doc_id, rank FROM dense), two AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(coalesce(bm.score, 0), 9) DESC, dense.rank) AS rank FROM dense LEFT JOIN bm USING (query_id, doc_id))"""
+
+
+def hashed(table: str, key: str) -> str:
+    bins = f"list_transform({toks('text')}, lambda t: {md5n('t', 7)} % 64)"
+    return f"""{table}b AS (SELECT {key} AS id, {bins} AS b FROM {table}),
+{table}c AS (SELECT id, list_transform(range(64), lambda d: len(list_filter(b, lambda x: x = d))::DOUBLE) AS c FROM {table}b),
+{table}v AS (SELECT id, list_transform(c, lambda x: x / CASE WHEN list_sum(list_transform(c, lambda y: y * y)) > 0 THEN sqrt(list_sum(list_transform(c, lambda y: y * y))) ELSE 1 END) AS v FROM {table}c)"""
+
+
+HASHED = f"""{hashed("documents", "doc_id")}, {hashed("benchmark", "item_id")},
+hs AS (SELECT q.id AS query_id, d.id AS doc_id, list_dot_product(q.v, d.v) AS score FROM benchmarkv q, documentsv d),
+dense AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM hs QUALIFY rank <= 200)"""
+
+
+def shown(ranking: str, score: str) -> str:
+    return f"{DOCS} SELECT query_id, rank, doc_id AS chunk_id, path, substr(string_split(text, chr(10))[1], 1, 96) AS snippet, round({score}, 6) AS score FROM {ranking} JOIN docs USING (doc_id) WHERE rank <= 10"
+
+
 
 
 def closed(ranks: str) -> str:
@@ -74,7 +98,26 @@ def ring(name: str, group: str) -> str:
 {name} AS (SELECT i, coalesce(nx, CASE WHEN fs <> j THEN fs END) AS j FROM rows JOIN {name}f ON {name}f.g = {group} AND {name}f.name = rows.name WHERE coalesce(nx, CASE WHEN fs <> j THEN fs END) IS NOT NULL)"""
 
 
+C_FILES = f"cw AS (SELECT *, source || '/' || doc_id || '.c' AS path, trim(substr(regexp_replace(text, '[^a-z]+', ' ', 'g'), 1, 60)) AS w FROM documents)"
+#: What each dressed document defines, written out: name, kind, its comment and code, line.
+C_DEFINED = """
+cd AS (SELECT path, 'fn' || doc_id AS name, 'function' AS kind, concat('/**', chr(10), ' * fn', doc_id, ' - ', w, chr(10), ' * @a: value number ', n_chars, chr(10), ' */', chr(10), 'static int fn', doc_id, '(int a)', chr(10), '{', chr(10), chr(9), 'return a + ', n_chars, ';', chr(10), '}') AS code, 5 AS line FROM cw WHERE doc_id % 4 = 0
+UNION ALL SELECT path, 'make' || doc_id, 'function', concat(rtrim('// ' || w), chr(10), 'struct pair *', chr(10), 'make', doc_id, '(struct pair *p)', chr(10), '{', chr(10), chr(9), 'char *s = "}";', chr(10), chr(9), 'return p; /* } */', chr(10), '}'), 5 FROM cw WHERE doc_id % 4 = 1
+UNION ALL SELECT path, 'node' || doc_id, 'struct', concat('typedef struct node', doc_id, ' {', chr(10), chr(9), 'int x;', chr(10), chr(9), 'char c;', chr(10), '}'), 1 FROM cw WHERE doc_id % 4 = 3)"""
+BLANK, SHORT = r"\t-\r \x{85}\p{Z}", "|".join(f"''{x}" for x in "s t re ve m ll d".split())
+#: A run of blanks gives its last character to the word after it, so the text is cut there first.
+PRETOKENS = rf"""cut AS (SELECT unnest(string_split(regexp_replace(text, '([{BLANK}]+)([{BLANK}])([^{BLANK}])', '\1' || chr(1) || '\2\3', 'g'), chr(1))) AS part FROM documents),
+pre AS (SELECT unnest(regexp_extract_all(part, '{SHORT}| ?\p{{L}}+| ?\p{{N}}+| ?[^{BLANK}\p{{L}}\p{{N}}]+|[{BLANK}]+')) AS word FROM cut)"""
+
+
 ORACLES: dict[str, str] = {
+    "extract_definitions": f"WITH {C_FILES}, {C_DEFINED} SELECT path, name, kind, code, line FROM cd",
+    "kdoc_mine": f"""WITH {C_FILES}, k AS (SELECT path, 'fn' || doc_id AS name, 'function' AS kind, w || ' Parameters: a: value number ' || n_chars AS anchor, concat('static int fn', doc_id, '(int a)', chr(10), '{{', chr(10), chr(9), 'return a + ', n_chars, ';', chr(10), '}}') AS positive FROM cw WHERE doc_id % 4 = 0 AND w <> '')
+SELECT * FROM k WHERE length(anchor) >= 40 AND length(positive) >= 40""",
+    "chunk_with_fallback": f"""WITH {C_FILES}, {C_DEFINED}, every AS (SELECT * FROM cd UNION ALL SELECT path, doc_id || '.c:1', 'window', concat(w, chr(10), w, chr(10), chr(10)), 1 FROM cw WHERE doc_id % 4 = 2 AND w <> '')
+SELECT path, name, kind, code, line FROM every WHERE length(code) >= 60""",
+    "scan_tree": "SELECT * FROM (VALUES ('lib/ring.c', 'kept', 52), ('lib/_hidden.h', 'kept', 25), ('lib/table.h', 'generated', 10780), ('lib/table_short.h', 'kept', 10758), ('lib/nul.c', 'binary', 9), ('lib/empty.c', 'kept', 0)) AS t(path, disposition, length)",
+    "pretoken_counts": f"WITH {PRETOKENS} SELECT word, count(*) AS n FROM pre GROUP BY 1",
     "identifier_tokens": f"WITH {TOK} SELECT doc_id, len(tokens) AS n_tokens, coalesce(array_to_string(tokens, ' '), '') AS tokens FROM tok",
     "term_freq": f"WITH {TOK}, ex AS (SELECT doc_id, unnest(tokens) AS term FROM tok) SELECT doc_id, term, count(*) AS tf FROM ex GROUP BY ALL",
     "doc_stats": f"WITH {TOK} SELECT count(*) AS n_docs, sum(len(tokens))::BIGINT AS n_tokens, round(avg(len(tokens)), 6) AS avg_len FROM tok",
@@ -92,11 +135,10 @@ ORACLES: dict[str, str] = {
     "quantize_int8": "WITH m AS (SELECT vec_id, embedding, list_max(list_transform(embedding, lambda x: abs(x::DOUBLE))) AS top FROM embeddings), z AS (SELECT *, CASE WHEN top > 0 THEN top / 127 ELSE 1.0 END AS scale FROM m) SELECT vec_id, round(scale, 9) AS scale, array_to_string(list_transform(embedding, lambda x: round(x::DOUBLE / scale)::INT), ',') AS codes FROM z",
     "rrf": "WITH d AS (SELECT lang AS query_id, doc_id, n_chars, len(string_split(text, chr(10))) AS n FROM documents), one AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY n_chars DESC, doc_id) AS rank FROM d QUALIFY rank <= 100), two AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, doc_id) AS rank FROM d QUALIFY rank <= 100) SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)), 9) AS rrf FROM (SELECT * FROM one UNION ALL SELECT * FROM two) GROUP BY ALL",
     "hybrid_independent": f"WITH {DENSE}, {bm_top(200)}, one AS (SELECT * FROM dense), two AS (SELECT query_id, doc_id, rank FROM top), {FUSE}",
-    "hybrid_rerank": f"""WITH {DENSE}, {TOK}, {ASKED}, lt AS (SELECT query_id, doc_id, rank, len(tokens) AS size, tokens FROM dense JOIN tok USING (doc_id)),
-st AS (SELECT query_id, count(*) AS n_docs, avg(size) AS avg_len FROM lt GROUP BY 1), ex AS (SELECT query_id, doc_id, size, unnest(tokens) AS term FROM lt),
-tf AS (SELECT query_id, doc_id, size, term, times, count(*) AS tf FROM ex JOIN qt USING (query_id, term) GROUP BY ALL), df AS (SELECT query_id, term, count(*) AS df FROM tf GROUP BY ALL),
-bm AS (SELECT query_id, doc_id, sum(times * greatest(ln((n_docs - df + 0.5) / (df + 0.5) + 1.0), 1e-6) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * size / greatest(avg_len, 1e-9)))) AS score FROM tf JOIN df USING (query_id, term) JOIN st USING (query_id) GROUP BY ALL),
-one AS (SELECT query_id, doc_id, rank FROM dense), two AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(coalesce(score, 0), 9) DESC, dense.rank) AS rank FROM dense LEFT JOIN bm USING (query_id, doc_id)), {FUSE}""",
+    "hybrid_rerank": f"WITH {DENSE}, {POOLED}, {FUSE}",
+    "search_dense": f"WITH {HASHED}, {shown('dense', 'score')}",
+    "search_hybrid": f"WITH {HASHED}, {bm_top(200)}, one AS (SELECT query_id, doc_id, rank FROM dense), two AS (SELECT query_id, doc_id, rank FROM top), {FUSED}, {shown('best', 'rrf')}",
+    "search_rerank": f"WITH {HASHED}, {POOLED}, {FUSED}, {shown('best', 'rrf')}",
     "gold_lookup": f"WITH {GOLD}, {DOCS} SELECT item_id, doc_id, path FROM gold JOIN docs USING (doc_id)",
     "resolvable_queries": f"WITH {GOLD} SELECT item_id, length(text) AS n FROM benchmark WHERE item_id IN (SELECT item_id FROM gold) ORDER BY item_id LIMIT 400",
     "eval_corpus_layout": "WITH p AS (SELECT row_number() OVER (ORDER BY a.conv_id, md5(a.text), md5(b.text)) - 1 AS pos, md5(a.text) AS x, md5(b.text) AS y FROM conversations a JOIN conversations b USING (conv_id) WHERE a.turn = 0 AND b.turn = 1) SELECT 'q' || pos AS query_id, 'p' AS side, 2 * pos AS doc, x AS digest FROM p UNION ALL SELECT 'q' || pos, 'n', 2 * pos + 1, y FROM p",
