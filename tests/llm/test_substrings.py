@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from corvine.llm import substrings
@@ -29,13 +30,36 @@ def result(df):
     return sorted(tuple(r) for r in df.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect())
 
 
-@pytest.mark.parametrize("chunk", [1 << 24, 700])
-def test_equals_brute_force(spark, chunk):
+@pytest.mark.parametrize(("chunk", "hot"), [(1 << 24, 64), (700, 64), (700, 2), (700, 0)])
+def test_equals_brute_force(spark, chunk, hot):
     rng = random.Random(5)
     parts = ["".join(rng.choice("abé ") for _ in range(rng.choice([49, 50, 51, 70, 120]))) for _ in range(12)]
     rows = [(i, "".join(rng.choice([rng.choice(parts), "".join(rng.choice("abcé ") for _ in range(30))]) for _ in range(rng.randint(0, 6))), "en", "s") for i in range(60)]
     rows += [(60, None, "en", "s"), (61, "", "en", "s"), (5, rows[5][1], "en", "s"), (62, rows[20][1] + rows[20][1], "en", "s")]
-    assert result(substrings.strip(table(spark, rows), chunk_bytes=chunk, bucket_bytes=chunk)) == brute([r[:2] for r in rows])
+    assert result(substrings.strip(table(spark, rows), chunk_bytes=chunk, counted_bytes=chunk, sorted_bytes=chunk, hot=hot)) == brute([r[:2] for r in rows])
+
+
+def test_suffix_buckets_and_long_ties(monkeypatch):
+    rng = random.Random(2)
+    for bucket in (4, 100, 1 << 18):
+        monkeypatch.setattr(substrings, "BUCKET", bucket)
+        for _ in range(12):
+            parts = [bytes(rng.choice(b"ab") for _ in range(rng.choice([20, 50, 80, 130]))) for _ in range(6)]
+            texts = [t for t in (b"".join(rng.choice(parts) for _ in range(rng.randint(1, 5))) for _ in range(12)) if len(t) >= 50] + [b"a" * 200, b"ab" * 80]
+            first = np.array([rng.randint(0, 5) for _ in texts])
+            least = {}
+            for t, f in zip(texts, first, strict=True):
+                for i in range(len(t) - 49):
+                    least[t[i : i + 50]] = min(least.get(t[i : i + 50], f), f)
+            want = [least[t[i : i + 50]] if i + 50 <= len(t) else f for t, f in zip(texts, first, strict=True) for i in range(len(t))]
+            offsets = np.cumsum([0, *map(len, texts)])
+            assert substrings.least_ids(np.frombuffer(b"".join(texts), np.uint8), offsets, first).tolist() == want
+
+
+def test_any_two_suffixes_share_a_sample_offset():
+    for r in range(substrings.V):
+        for s in range(substrings.V):
+            assert {(c - r) % substrings.V for c in substrings.COVER} & {(c - s) % substrings.V for c in substrings.COVER}
 
 
 def test_equal_texts_touching_runs_and_the_kept_rest(spark):
@@ -56,8 +80,6 @@ def test_odd_and_empty_tables(odd, none):
 
 
 def test_names_survive_the_coding():
-    import numpy as np
-
     rng = np.random.default_rng(1)
     for n, top in ((1, 10), (1000, 2**20), (1000, 2**63), (300, 300), (2, 2**63)):
         x = np.unique(rng.integers(0, top, n, dtype=np.uint64))
