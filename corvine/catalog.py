@@ -275,6 +275,19 @@ def ir_metrics_open(spark, d):
     return m.select(*(_r(c) if c != "median_rank" else c for c in m.columns))
 
 
+@query
+def metric_filter(spark, d):
+    keys = F.concat("source", F.lit("_"), F.col("lang"), F.lit("_"), F.element_at(F.array(*(F.lit(m) for m in ("Accuracy@1", "MRR@10", "loss", "recall@100", "NDCG@10", "steps"))), (F.col("doc_id") % 6 + 1).cast("int")))
+    scores = _docs(spark, d).select(keys.alias("key"), F.col("n_chars").alias("value")).filter(tx.is_reported(F.col("key")))
+    return evaluation.picked(scores.groupBy("key").agg(F.max("value").alias("value")))
+
+
+@query
+def rag_ask(spark, d):
+    asked = rag.ask(_index(spark, d), _questions(spark, d), 10, "rerank")
+    return asked.select("query_id", "n_blocks", F.length("prompt").alias("n"), F.md5("prompt").alias("digest"))
+
+
 @query
 def metric_pivot(spark, d):
     bm25 = evaluation.long(evaluation.closed(_closed_ranks(spark, d)), "bm25")
@@ -446,6 +459,16 @@ def infonce(spark, d):
     return losses.infonce(_scores(spark, d).select("batch", "i", "j", "s")).select(_r("loss"))
 
 
+@query
+def infonce_hard(spark, d):
+    """The negative of anchor n is the vector 2n + 3, at the end of a batch its own positive."""
+    v = _base(spark, d).select(F.col("doc_id").alias("id"), "v").withColumn("i", F.floor(F.col("id") / 2)).withColumn("batch", F.floor(F.col("i") / 16))
+    positives = v.filter("id % 2 = 1").select("batch", "i", F.col("v").alias("c"))
+    negatives = positives.select("batch", (F.col("i") - 1).alias("i"), "c").filter(F.floor(F.col("i") / 16) == F.col("batch"))
+    scores = losses.pair_scores(v.filter("id % 2 = 0").select("batch", "i", F.col("v").alias("a")), losses.candidates(positives, negatives))
+    return losses.infonce(scores).select(F.round(losses.accumulated(F.col("loss"), 4), 6).alias("loss"))
+
+
 @query
 def gist_loss(spark, d):
     return losses.total(_scores(spark, d)).select(_r("infonce"), _r("gist"), _r("total"))

@@ -170,6 +170,9 @@ SELECT path, name, kind, code, line FROM every WHERE length(code) >= 60""",
     "grouped_batches": f"WITH r AS (SELECT doc_id AS i, source || '/' || lang AS g, {seeded(42, 'doc_id')} AS h FROM documents), n AS (SELECT *, count(*) OVER (PARTITION BY g) AS n, row_number() OVER (PARTITION BY g ORDER BY h, i) - 1 AS pl FROM r), t AS (SELECT i, row_number() OVER (ORDER BY h, i) - 1 AS pos FROM n WHERE pl >= n // 16 * 16) SELECT i, g || '#' || pl // 16 AS batch, pl % 16 AS place, true AS full FROM n WHERE pl < n // 16 * 16 UNION ALL SELECT i, 'tail#' || pos // 16, pos % 16, false FROM t",
     "distinct_batches": f"WITH c AS (SELECT doc_id AS i, {seeded(42, 'doc_id')} AS h, row_number() OVER (PARTITION BY md5(text) ORDER BY {seeded(42, 'doc_id')}, doc_id) AS layer FROM documents), p AS (SELECT *, row_number() OVER (PARTITION BY layer ORDER BY h, i) - 1 AS pos FROM c) SELECT i, layer || '#' || pos // 16 AS batch FROM p",
     "infonce": f"WITH {SCORES}, l AS ({NCE.format('sc')}) SELECT round(loss, 6) AS loss FROM l",
+    "infonce_hard": f"WITH {NORMED}, v AS (SELECT vec_id AS id, vec_id // 2 AS i, vec_id // 32 AS batch, v FROM nv), c AS (SELECT batch, i AS j, v FROM v WHERE id % 2 = 1 UNION ALL SELECT batch, -1 - (i - 1), v FROM v WHERE id % 2 = 1 AND (i - 1) // 16 = batch AND i > 0), sc AS (SELECT a.batch, a.i, c.j, 20 * list_dot_product(a.v, c.v) AS s FROM v a JOIN c USING (batch) WHERE a.id % 2 = 0), l AS ({NCE.format('sc')}) SELECT round(loss / 4, 6) AS loss FROM l",
+    "metric_filter": "WITH k AS (SELECT source || '_' || lang || '_' || (['Accuracy@1', 'MRR@10', 'loss', 'recall@100', 'NDCG@10', 'steps'])[doc_id % 6 + 1] AS key, n_chars AS value FROM documents), m AS (SELECT key, max(value) AS value FROM k GROUP BY 1) SELECT lower(string_split(key, '_')[-1]) AS metric, arg_max(value, key) AS value FROM m WHERE lower(string_split(key, '_')[-1]) IN ('accuracy@1', 'accuracy@5', 'mrr@10', 'ndcg@10', 'recall@10') GROUP BY 1",
+    "rag_ask": f"WITH {HASHED}, {POOLED}, {FUSED}, {DOCS}, hits AS (SELECT query_id, rank, '[' || rank || '] ' || path || ':1  (' || lang || ' d' || doc_id || ')' || chr(10) || '```c' || chr(10) || text || chr(10) || '```' || chr(10) AS block FROM best JOIN docs USING (doc_id) WHERE rank <= 10), used AS (SELECT *, (sum(length(block)) OVER (PARTITION BY query_id ORDER BY rank))::BIGINT AS used FROM hits), fit AS (SELECT * FROM used WHERE used <= 12000 OR rank = 1), cx AS (SELECT query_id, count(*)::INT AS n_blocks, string_agg(block, chr(10) ORDER BY rank) AS c FROM fit GROUP BY 1), pr AS (SELECT query_id, n_blocks, 'Answer from the excerpts alone.' || chr(10) || chr(10) || 'Excerpts:' || chr(10) || chr(10) || c || chr(10) || chr(10) || 'Question: ' || text || chr(10) AS p FROM cx JOIN benchmark ON item_id = query_id) SELECT query_id, n_blocks, length(p) AS n, md5(p) AS digest FROM pr",
     "gist_loss": f"WITH {SCORES}, kept AS (SELECT sc.* FROM sc JOIN own USING (batch, i) WHERE i = j OR NOT gs > o), a AS ({NCE.format('sc')}), b AS ({NCE.format('kept')}) SELECT round(a.loss, 6) AS infonce, round(b.loss, 6) AS gist, round(0.6 * b.loss + 0.4 * a.loss, 6) AS total FROM a, b",
     "perplexity": "SELECT round(avg(n_chars % 97 / 100), 6) AS loss, round(exp(avg(n_chars % 97 / 100)), 6) AS perplexity FROM documents",
     "vocab_equality": f"WITH w AS (SELECT source, unnest({toks('text')}) AS t FROM documents), a AS (SELECT DISTINCT t FROM w WHERE source = 'src0'), b AS (SELECT DISTINCT t FROM w WHERE source = 'src1'), c AS (SELECT count(*) AS n_different FROM a FULL JOIN b ON a.t = b.t WHERE a.t IS NULL OR b.t IS NULL) SELECT n_different, n_different = 0 AS equal FROM c",

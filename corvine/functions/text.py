@@ -59,3 +59,8 @@ def in_validation(path: Column, fraction: float) -> Column:
 def metric_name(key: Column) -> Column:
     """What follows the last underscore, lower-cased."""
     return F.lower(F.element_at(F.split(key, "_"), -1))
+
+
+def is_reported(key: Column) -> Column:
+    """Whether a key names a retrieval metric at all."""
+    return F.lower(key).rlike("accuracy|mrr|ndcg|recall")

@@ -5,6 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvine.functions.text import metric_name
+
+
+# The metrics that reports show, in their order.
+METRICS = ("accuracy@1", "accuracy@5", "mrr@10", "ndcg@10", "recall@10")
+
+
+def picked(scores: DataFrame) -> DataFrame:
+    """scores (key, value) -> metric, value of the METRICS: what follows a key's last underscore; of equal names the greatest key's value."""
+    named = scores.withColumn("metric", metric_name(F.col("key"))).filter(F.col("metric").isin(*METRICS))
+    return named.groupBy("metric").agg(F.max_by("value", "key").alias("value"))
+
+
+def evaluate(rankings: dict[str, DataFrame], gold: DataFrame) -> DataFrame:
+    """Rankings (query_id, doc_id, rank) by model, gold (query_id, doc_id) -> a row for each metric, a column for each model, and the difference of two."""
+    parts = [long(closed(gold_ranks(r, gold)), model) for model, r in rankings.items()]
+    return compare(parts, list(rankings))
+
 
 def at_most(rank: Column, k: int) -> Column:
     return F.avg(F.when(rank <= k, 1.0).otherwise(0.0))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvine.functions.vector import dot
@@ -21,6 +21,17 @@ def pair_scores(anchors: DataFrame, candidates: DataFrame) -> DataFrame:
     return anchors.join(candidates, "batch").select(*cols)
 
 
+def candidates(positives: DataFrame, negatives: DataFrame) -> DataFrame:
+    """positives (batch, i, c[, gc]), negatives alike -> batch, j, c[, gc]: positives keep their anchor's number, the negative of anchor i is -1 - i."""
+    rest = [c for c in positives.columns if c not in ("batch", "i")]
+    return positives.select("batch", F.col("i").alias("j"), *rest).unionByName(negatives.select("batch", (-1 - F.col("i")).alias("j"), *rest))
+
+
+def accumulated(loss: Column, steps: int) -> Column:
+    """A loss's share where gradients of ``steps`` batches are summed before a step."""
+    return loss / steps if steps > 1 else loss
+
+
 def infonce(scores: DataFrame, scale: float = SCALE) -> DataFrame:
     """One row: mean over anchors of the cross-entropy of their positive among all candidates."""
     top = F.max(F.col("s") * scale)

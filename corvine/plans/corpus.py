@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvine.functions.session import cut
 from corvine.functions.text import line_density
+from corvine.sources.files import scan_tree, write_jsonl
 
 MAX_BYTES, PROBE_BYTES, DENSITY, LINES, MARK = 4 << 20, 8192, 0.60, 500, "#define"
 
@@ -31,6 +33,13 @@ def judged(files: DataFrame, **limits) -> DataFrame:
     return rows.select("path", "disposition", "length", F.when(F.col("disposition") == "kept", F.col("text")).alias("text"))
 
 
+def build(spark: SparkSession, root: str, out: str, **limits) -> DataFrame:
+    """Reads a source tree, writes path and text of what is kept as JSON lines to ``out`` -> the summary of all files."""
+    rows = cut(judged(scan_tree(spark, root), **limits))
+    write_jsonl(rows.filter("disposition = 'kept'").select("path", "text"), out)
+    return summary(rows)
+
+
 def summary(rows: DataFrame) -> DataFrame:
     """disposition, n, chars."""
     return rows.groupBy("disposition").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvine.plans.search import search
+
 BUDGET = 12_000
 
 
@@ -26,6 +28,14 @@ def context(hits: DataFrame, budget: int = BUDGET) -> DataFrame:
     return kept.select("query_id", F.size("b").alias("n_blocks"), F.array_join(F.transform("b", lambda x: x["block"]), "\n").alias("context"))
 
 
+def ask(index: DataFrame, queries: DataFrame, k: int = 8, mode: str = "hybrid", budget: int = BUDGET, instruction: str = "Answer from the excerpts alone.") -> DataFrame:
+    """index and queries as ``search`` takes them -> query_id, n_blocks, prompt: what a language model would be asked."""
+    hits = search(index, queries, k, mode, code=True)
+    found = context(hits.select("query_id", "rank", excerpt().alias("block")), budget)
+    asked = prompt(found, queries.select("query_id", F.col("text").alias("question")), instruction)
+    return found.select("query_id", "n_blocks").join(asked, "query_id")
+
+
 def prompt(contexts: DataFrame, questions: DataFrame, instruction: str) -> DataFrame:
     """query_id, prompt."""
     return contexts.join(questions, "query_id").select("query_id", F.concat(F.lit(instruction), F.lit("\n\nExcerpts:\n\n"), F.col("context"), F.lit("\n\nQuestion: "), F.col("question"), F.lit("\n")).alias("prompt"))

@@ -76,11 +76,37 @@ def load_documents(df: DataFrame, order: str) -> DataFrame:
     return first_wins(rows, [F.col("path"), F.col("name")], [F.col("__ord")]).drop("__ord")
 
 
-def write_index(chunks: DataFrame, vectors: DataFrame, path: str, code: bool = True) -> None:
-    """Chunks and their vectors in one table by chunk_id, so the two can't disagree; a missing vector fails the write."""
+def write_merges(spark: SparkSession, merges: list[tuple[str, str]], path: str) -> None:
+    """A trained tokenizer as Parquet: its merges in order, which give the vocabulary as well."""
+    rows = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(merges)], "rank int, left string, right string")
+    rows.coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def read_merges(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    return [(r.left, r.right) for r in spark.read.parquet(path).orderBy("rank").collect()]
+
+
+def upsert_index(rows: DataFrame, path: str, version: int) -> None:
+    """Appends rows of an index (chunk_id, ...) that replace those of lower versions with the same chunk_id."""
+    rows.withColumn("version", F.lit(version).cast("long")).write.mode("append").parquet(path)
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of the greatest version of each chunk_id, or all where none has a version."""
+    from corvine.operators.ordering import first_wins
+
+    rows = spark.read.option("mergeSchema", True).parquet(path)
+    return first_wins(rows, [F.col("chunk_id")], [F.desc_nulls_last("version")]).drop("version") if "version" in rows.columns else rows
+
+
+def write_index(chunks: DataFrame, vectors: DataFrame, path: str, code: bool = True, store: str = "parquet") -> None:
+    """Chunks and their vectors in one table by chunk_id, so the two can't disagree; a missing vector fails the write.
+
+    ``store`` is any format that Spark writes.
+    """
     rows = chunks.join(vectors, "chunk_id", "full_outer")
     rows = rows.withColumn("embedding", F.when(F.col("path").isNull() | F.col("embedding").isNull(), F.raise_error(F.lit("vectors and metadata differ"))).otherwise(F.col("embedding")))
-    (rows if code else rows.drop("code")).write.mode("overwrite").parquet(path)
+    (rows if code else rows.drop("code")).write.mode("overwrite").format(store).save(path)
 
 
 def index_info(index: DataFrame) -> DataFrame:

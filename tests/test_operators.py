@@ -306,3 +306,115 @@ def test_token_files_hold_16_bits(spark, tmp_path):
     assert {r.window: bytes(r.data) for r in files.token_bytes(w).collect()} == {0: b"\x03\x00\x00\x01", 1: b"\x07\x00\xff\xff"}
     files.write_tokens(w, str(tmp_path / "t"))
     assert spark.read.parquet(str(tmp_path / "t")).count() == 2
+
+
+def test_one_call_entries(spark, tmp_path):
+    from corvine.operators import evaluation, tokens
+    from corvine.plans import corpus, rag, search
+    from corvine.sources import files
+
+    root = tmp_path / "tree"
+    (root / "lib").mkdir(parents=True)
+    (root / "lib/a.c").write_text("int f(int a)\n{\n\treturn a;\n}\n" * 3)
+    (root / "lib/b.h").write_text("#define X 1\n" * 600)
+    got = {r.disposition: r.n for r in corpus.build(spark, str(root), str(tmp_path / "corpus")).collect()}
+    kept = files.read_jsonl(spark, str(tmp_path / "corpus"), files.CORPUS)
+    assert got == {"kept": 1, "generated": 1} and [r.path for r in kept.collect()] == ["lib/a.c"]
+
+    docs = spark.createDataFrame([(f"d/{i}.c", "static int value = 3;\nint other(void);\n" * (i + 1)) for i in range(12)], files.CORPUS)
+    merges = tokens.train_bpe(tokens.pretoken_counts(docs), 300)
+    files.write_merges(spark, merges, str(tmp_path / "merges"))
+    assert files.read_merges(spark, str(tmp_path / "merges")) == merges
+    parts = tokens.pack(docs, merges, 0.5, 16)
+    windows = {k: v.collect() for k, v in parts.items()}
+    assert all(len(r.ids) == 16 for rows in windows.values() for r in rows) and windows["train"] and windows["val"]
+
+    vector = search.hashed_vector(F.col("code"))
+    index = docs.select(F.xxhash64("path").alias("chunk_id"), "path", F.lit("n").alias("name"), F.lit("function").alias("kind"), F.lit(1).alias("line"), F.col("text").alias("code")).withColumn("embedding", vector)
+    asked = spark.createDataFrame([(1, "static value"), (2, "other")], "query_id long, text string").withColumn("embedding", search.hashed_vector(F.col("text")))
+    prompts = {r.query_id: r for r in rag.ask(index, asked, 3, "hybrid", 500).collect()}
+    assert set(prompts) == {1, 2} and all("Question: " in r.prompt and r.n_blocks >= 1 for r in prompts.values())
+
+    files.upsert_index(index, str(tmp_path / "index"), 1)
+    files.upsert_index(index.limit(2).withColumn("name", F.lit("new")), str(tmp_path / "index"), 2)
+    assert sorted(r.name for r in files.read_index(spark, str(tmp_path / "index")).collect()) == ["n"] * 10 + ["new"] * 2
+
+    gold = spark.createDataFrame([(1, 7), (2, 8)], "query_id long, doc_id long")
+    ranking = spark.createDataFrame([(1, 7, 1), (2, 9, 1), (2, 8, 2)], "query_id long, doc_id long, rank int")
+    table = {r.metric: (r.a, r.b) for r in evaluation.evaluate({"a": ranking, "b": ranking.filter("rank = 1")}, gold).collect()}
+    assert table["accuracy_at_1"] == (0.5, 0.5) and table["mrr_at_10"] == (0.75, 0.5)
+
+
+def test_metric_names_and_accumulation(spark):
+    from corvine.functions import text as tx
+    from corvine.operators import evaluation, losses
+
+    rows = spark.createDataFrame([("dev_cosine_Accuracy@1", 0.5), ("dev_cosine_ndcg@10", 0.25), ("loss", 3.0), ("x_recall@100", 1.0)], "key string, value double")
+    assert {r.metric: r.value for r in evaluation.picked(rows).collect()} == {"accuracy@1": 0.5, "ndcg@10": 0.25}
+    assert sorted(r.key for r in rows.filter(tx.is_reported(F.col("key"))).collect()) == ["dev_cosine_Accuracy@1", "dev_cosine_ndcg@10", "x_recall@100"]
+    assert [r[0] for r in rows.filter("key = 'loss'").select(losses.accumulated(F.col("value"), 4)).collect()] == [0.75]
+
+
+def test_containing_equals_plain_search(spark):
+    from corvine.operators import matching
+
+    docs = [(1, "one two three four five six seven eight nine"), (2, "xone two three four five six seveny"), (3, "a,b,c"), (4, None), (5, "zebra-crossing here"), (6, "")]
+    items = [(1, "two three four five six seven"), (2, "one two three four five six seven"), (3, "b"), (4, "zebra-crossing"), (5, "e"), (6, None), (7, "ne two three four five six seve"), (8, "a,b,c"), (9, "five six seven!")]
+    got = matching.containing(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, passage string"))
+    want = sorted((i, d) for i, p in items if p is not None for d, t in docs if t is not None and p in t)
+    assert sorted((r.item_id, r.doc_id) for r in got.collect()) == want
+
+
+def test_bpe_equals_a_plain_trainer(spark):
+    from collections import Counter
+
+    from corvine.operators import tokens
+
+    texts = ["the cat sat on the mat the cat", "a cat and a hat sat", "thé cât the cat", "hhhhh hhhh aaa"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    counts = {r.word: r.n for r in tokens.pretoken_counts(docs).collect()}
+    letters = tokens.byte_letters()
+    names = [*tokens.SPECIALS, *sorted(letters)]
+    words = {w: [letters[b] for b in w.encode()] for w in counts}
+    want = []
+    while True:
+        pairs = Counter()
+        for w, parts in words.items():
+            for p in zip(parts, parts[1:], strict=False):
+                pairs[p] += counts[w]
+        if not pairs:
+            break
+        best = min(pairs, key=lambda p: (-pairs[p], names.index(p[0]), names.index(p[1])))
+        if pairs[best] < 2:
+            break
+        want.append(best)
+        if best[0] + best[1] not in names:
+            names.append(best[0] + best[1])
+        for w, parts in words.items():
+            out, i = [], 0
+            while i < len(parts):
+                two = tuple(parts[i : i + 2]) == best
+                out.append("".join(best) if two else parts[i])
+                i += 2 if two else 1
+            words[w] = out
+    merges = tokens.train_bpe(tokens.pretoken_counts(docs))
+    assert merges == want
+    ids = tokens.vocabulary(merges)
+    back = {i: t for t, i in ids.items()}
+    spell = {c: b for b, c in enumerate(letters)}
+    for r in docs.select("text", tokens.encoder(merges)(F.col("text")).alias("ids")).collect():
+        assert bytes(spell[c] for i in r.ids for c in back[i]).decode() == r.text
+
+
+def test_lsh_recall(spark):
+    import numpy as np
+
+    from corvine.operators import vectors
+
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 16))
+    x = (centres[rng.integers(0, 12, 600)] + 0.25 * rng.normal(size=(600, 16))).tolist()
+    base = vectors.normalized(spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<double>")).select("doc_id", "v")
+    asked = base.filter("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.col("v").alias("q"))
+    exact, near = ({(r.query_id, r.doc_id) for r in f(base, asked, 10).collect()} for f in (vectors.knn, vectors.knn_lsh))
+    assert len(exact & near) >= 0.9 * len(exact)
