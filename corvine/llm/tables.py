@@ -13,13 +13,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """This session's part of the folder that the cluster names in spark.checkpoint.dir; a folder of our own only where it names none (local tests)."""
+    """This session's part of the folder that the cluster names in spark.checkpoint.dir; a folder of our own only in a local session that names none."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="corvine-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="corvine-"))
     return context.getCheckpointDir()
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of ours in whatever store it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoint in the shared folder: later stages read it, whichever executors are lost."""
     shared_folder(df.sparkSession)
@@ -34,3 +43,21 @@ def held_out(doc_id: str = "doc_id"):
 def slots(rows: int, per_slot: int) -> int:
     """How many parts keep each part near ``per_slot``."""
     return max(1, -(-int(rows) // per_slot))
+
+
+#: Rows of some 16 bytes that are broadcast at most; beyond it joins shuffle. Rows of one key that one task takes about.
+BROADCAST_ROWS, PER_TASK = 2_000_000, 2_000
+
+
+def frequent(rows: DataFrame, key: str, per_task: int = PER_TASK) -> DataFrame:
+    """key, salts: how many tasks share the rows of each value of ``key`` that has over ``per_task`` of them; counted before the shuffle."""
+    return cut(rows.groupBy(key).agg(F.ceil(F.count("*") / per_task).cast("int").alias("salts")).filter("salts > 1"))
+
+
+def spread_join(rows: DataFrame, right: DataFrame, key: str, other: str, hot: DataFrame) -> DataFrame:
+    """rows joined with right by ``key``; rows of a frequent key are dealt by a hash of ``other``, and its few right rows copied to each of their tasks."""
+    hot = F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot
+    salts = F.coalesce(F.col("salts"), F.lit(1))
+    copied = right.join(hot, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    dealt = rows.join(hot, key, "left").withColumn("salt", F.pmod(F.xxhash64(other), salts).cast("int")).drop("salts")
+    return dealt.join(copied, [key, "salt"]).drop("salt")

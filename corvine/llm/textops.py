@@ -6,6 +6,8 @@ the whole buffer at once; temporary arrays are bounded by ``BLOCK`` bytes, whate
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -61,21 +63,22 @@ def words(buf: np.ndarray, offsets: np.ndarray, stems: tuple[int, ...] = ()) ->
     size = max(1, min(BLOCK, len(buf)))
     power = np.cumprod(np.full(size, _BASE, np.uint64))
     inverse = np.cumprod(np.full(size, pow(_BASE, -1, 2**64), np.uint64))
-    at = 0
+    at, begun = 0, None  # begun: (start, sum so far, heads) of a word that fills whole blocks
     while at < len(buf):
         upto = min(len(buf), at + BLOCK)
         mask = table[buf[at:upto]]
+        edges = offsets[np.searchsorted(offsets, at) : np.searchsorted(offsets, upto)] - at
         if upto < len(buf):
-            cut = np.flatnonzero(~mask)
-            # A word longer than a block is hashed in parts: as good as a word, and bounded.
-            if len(cut) and cut[-1] > 0:
-                upto = at + int(cut[-1])
-                mask = mask[: cut[-1]]
+            # Blocks end between words; a word longer than a block is summed over several.
+            cut = max([*np.flatnonzero(~mask)[-1:], *edges[-1:]], default=0)
+            if cut > 0:
+                upto = at + int(cut)
+                mask, edges = mask[:cut], edges[edges < cut]
+        inside = upto < len(buf) and bool(mask[-1] and table[buf[upto]]) and offsets[np.searchsorted(offsets, upto)] != upto
         opens = mask.copy()
         opens[1:] &= ~mask[:-1]
         closes = mask.copy()
         closes[:-1] &= ~mask[1:]
-        edges = offsets[np.searchsorted(offsets, at) : np.searchsorted(offsets, upto)] - at
         opens[edges] |= mask[edges]
         inner = edges[edges > 0] - 1
         closes[inner] |= mask[inner]
@@ -84,11 +87,24 @@ def words(buf: np.ndarray, offsets: np.ndarray, stems: tuple[int, ...] = ()) ->
         prefix = np.empty(n + 1, np.uint64)
         prefix[0] = 0
         np.cumsum((buf[at:upto].astype(np.uint64) + np.uint64(1)) * power[:n], out=prefix[1:])
-        hashes.append(mix64((prefix[e] - prefix[s]) * inverse[s]))
-        for k, head in zip(stems, heads, strict=True):
-            head.append(mix64((prefix[np.minimum(e, s + k)] - prefix[s]) * inverse[s], k))
-        starts.append(s + at)
-        ends.append(e + at)
+        sums = (prefix[e] - prefix[s]) * inverse[s]
+        tops = [(prefix[np.minimum(e, s + k)] - prefix[s]) * inverse[s] for k in stems]
+        s, e = s + at, e + at
+        if begun is not None:
+            shift = pow(_BASE, int(at - begun[0]), 2**64)
+            sums[0] = np.uint64((begun[1] + shift * int(sums[0])) % 2**64)
+            s[0] = begun[0]
+            for top, head in zip(tops, begun[2], strict=True):
+                top[0] = head
+            begun = None
+        if inside:
+            begun = int(s[-1]), int(sums[-1]), [top[-1] for top in tops]
+            s, e, sums, tops = s[:-1], e[:-1], sums[:-1], [top[:-1] for top in tops]
+        hashes.append(mix64(sums))
+        for k, head, top in zip(stems, heads, tops, strict=True):
+            head.append(mix64(top, k))
+        starts.append(s)
+        ends.append(e)
         at = upto
     if not starts:
         zero = np.zeros(0, np.int64)
@@ -97,6 +113,12 @@ def words(buf: np.ndarray, offsets: np.ndarray, stems: tuple[int, ...] = ()) ->
     return s, e, np.searchsorted(offsets, s, side="right") - 1, h, *map(np.concatenate, heads)
 
 
+def lowered(column: pa.Array, limit: int = BLOCK // 2) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(from, to, bytes, offsets) of lower-cased texts, some ``limit`` bytes at a time; nulls count as empty."""
+    for lo, hi in blocks(utf8(column)[1], limit):
+        yield lo, hi, *utf8(column.slice(lo, hi - lo), lower=True)
+
+
 def blocks(offsets: np.ndarray, limit: int = 4 * BLOCK) -> list[tuple[int, int]]:
     """Ranges of texts of about ``limit`` bytes together; a longer text is a range of its own."""
     out, lo, n = [], 0, len(offsets) - 1
