@@ -9,10 +9,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvine.llm.tables import cut, slots
+from corvine.llm.tables import BROADCAST_ROWS, cut, slots
 
 #: Documents that one task of the tree's first level holds about, and residuals that one task of a later level holds.
 LEAF, FAN = 1_000, 1_000
+#: Tasks that share the documents of one source where sources are too many to broadcast.
+SALTS = 32
 #: Copies of a document at most, and so target over source size.
 MOST = 3
 
@@ -98,13 +100,20 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 2024)
     levels. Draws hang on seed, source, level and place alone, so that reruns agree. Repeated ids are
     told apart by size only; rows that are the same throughout may swap their copies.
     """
-    sized = cut(docs.select("doc_id", "source", size(F.col("text")).alias("size")))
-    goal = targets(sized, weights)
-    # A row for each source: joined by a shuffle of small rows that AQE splits or turns into a broadcast.
-    rows = sized.join(goal, sized["source"].eqNullSafe(goal["source"])).select(sized["*"], "source_size", "target", F.ceil(F.col("n_docs") / LEAF).alias("leaves"))
+    # Rows with a null id are dealt by their text.
+    lot = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
+    sized = cut(docs.select("doc_id", "source", size(F.col("text")).alias("size"), lot.alias("lot")))
+    goal = cut(targets(sized.select("doc_id", "source", "size"), weights))
+    same = sized["source"].eqNullSafe(goal["source"])
+    if goal.count() <= BROADCAST_ROWS:
+        both = sized.join(F.broadcast(goal), same)
+    else:  # a row for each source, copied for SALTS tasks that share the documents of one
+        goal = goal.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        both = sized.join(goal, same & (F.pmod(sized["lot"], F.lit(SALTS)) == goal["salt"]))
+    rows = both.select(sized["*"], "source_size", "target", F.ceil(F.col("n_docs") / LEAF).alias("leaves"))
     most = rows.agg(F.max("leaves")).first()[0] or 1
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rows = rows.withColumn("rate", rate).withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.col("leaves")))
+    rows = rows.withColumn("rate", rate).withColumn("slot", F.pmod("lot", F.col("leaves"))).drop("lot")
     kind = dict(rows.dtypes)["doc_id"]
     schema = f"doc_id {kind}, source string, size long, source_size long, target double, leaves long, slot long, whole double, part double"
 
@@ -140,13 +149,13 @@ def take(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), broadcast_rows:
     """The documents that the mix takes, columns as before and copies, size, source_size, target, taken.
 
     Documents without a copy, and so those without words, are left out. Rows that share an id must be
-    the same document: they get the copies of one of them each. Rows with a null id are documents of
+    the same document: they get the most copies of any of them each. Rows with a null id are documents of
     their own: each gets the copies of one row of the mix with its source and size. Columns of docs with
     one of the added names give way. Up to ``broadcast_rows`` rows of about 50 bytes are broadcast, more are shuffled.
     """
     added = ["copies", "size", "source_size", "target", "taken"]
     every = cut(mix(docs, weights).filter("copies > 0").select(F.col("doc_id").alias("__id"), "source", *added))
-    plan = every.filter("__id IS NOT NULL").drop("source").dropDuplicates(["__id"])
+    plan = every.filter("__id IS NOT NULL").groupBy("__id").agg(F.max(F.struct(*added)).alias("most")).select("__id", "most.*")
     small = plan.count() <= broadcast_rows
     own = docs.drop(*added)
     known = own.join(F.broadcast(plan) if small else plan, F.col("doc_id") == F.col("__id")).select(*own.columns, *added)
