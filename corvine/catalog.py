@@ -8,6 +8,7 @@ document's that with its doc_id. Vector searches ask with every vec_id divisible
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 from collections.abc import Callable
 from pathlib import Path
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from corvine.catalog_sql import ORACLES
 from corvine.functions import text as tx
 from corvine.functions import vector as vec
-from corvine.functions.session import cut
+from corvine.functions.session import cut, shared_folder
 from corvine.operators import chunking, csource, evaluation, fusion, lexical, losses, matching, mining, ordering, tokens, vectors
 from corvine.plans import corpus, rag, search
 from corvine.sources import files
@@ -573,12 +574,17 @@ C_SOURCES = {
 
 
 def _tree(spark):
-    """The sources as files, in the folder all executors share where it is local."""
-    shared = (spark.sparkContext.getConf().get("spark.checkpoint.dir") or "").removeprefix("file://")
-    root = tempfile.mkdtemp(prefix="tree-", dir=shared if shared.startswith("/") and os.path.isdir(shared) else None)
+    """The sources as files in the folder all executors share, which must be mounted: a tree is scanned where it lies."""
+    shared = re.sub("^file:/*", "/", shared_folder(spark))
+    if not os.path.isdir(shared):
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"no mounted folder {shared}")
+        shared = None
+    root = tempfile.mkdtemp(prefix="tree-", dir=shared)
     for name, body in C_SOURCES.items():
         Path(root, name).parent.mkdir(parents=True, exist_ok=True)
         Path(root, name).write_text(body)
+    os.chmod(root, 0o755)
     return root
 
 

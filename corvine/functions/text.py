@@ -30,7 +30,11 @@ def line_density(text: Column, prefix: str) -> Column:
     return F.struct(F.when(n > 0, F.size(marked) / n).otherwise(0.0).alias("ratio"), n.alias("n"))
 
 
-def head_lines(text: Column, most: int, marker: tuple[str, ...] = ("\t/* ... truncated ... */", "}")) -> Column:
+# Fixed value: what follows a text that was cut.
+MARKER = ("\t/* ... truncated ... */", "}")
+
+
+def head_lines(text: Column, most: int, marker: tuple[str, ...] = MARKER) -> Column:
     """The first ``most`` lines and the marker lines where there are more."""
     parts = lines(text)
     return F.when(F.size(parts) > most, F.array_join(F.concat(F.slice(parts, 1, most), F.array(*map(F.lit, marker))), "\n")).otherwise(text)

@@ -5,14 +5,19 @@ from __future__ import annotations
 import hashlib
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from corvine.functions.session import cut
 from corvine.functions.text import md5_number, subsystem
 from corvine.operators.ordering import first_wins, placed
 
 
+#: Groups broadcast at most, some 40 bytes each; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+
+
 def dedup_anchors(pairs: DataFrame, text: str, order: list[Column], chars: int = 200) -> DataFrame:
     """The first row of each lower-cased prefix."""
     return first_wins(pairs, [F.lower(F.substring(F.col(text), 1, chars))], order)
@@ -31,9 +36,14 @@ def _next_other(rows: DataFrame, group: Column, seed: int) -> DataFrame:
     """
     names = rows.withColumn("__g", group).withColumn("__h", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("name"))))
     heads = names.groupBy("__g", "__h", "name").agg(F.min(F.struct(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("i").cast("string"))), F.col("i")))["i"].alias("j"))
-    ring = Window.partitionBy("__g").orderBy("__h", "name")
-    following = heads.withColumn("to", F.lead("j").over(ring)).withColumn("first", F.first("j").over(ring))
-    following = following.withColumn("to", F.coalesce("to", F.when(F.col("first") != F.col("j"), F.col("first"))))
+    # Places in one range sort of all groups' names: no task holds a group.
+    ring = cut(placed(heads.select("__g", "__h", "name", "j"), [F.col("__g"), F.col("__h"), F.col("name")]))
+    after = ring.select((F.col("pos") - 1).alias("pos"), F.col("__g").alias("__g2"), F.col("j").alias("next"))
+    firsts = cut(ring.groupBy(F.col("__g").alias("__g1")).agg(F.min_by("j", "pos").alias("first")))
+    firsts = F.broadcast(firsts) if firsts.count() <= BROADCAST_ROWS else firsts
+    following = ring.join(after, "pos", "left").join(firsts, F.col("__g").eqNullSafe(F.col("__g1")))
+    own = F.when(F.col("__g").eqNullSafe(F.col("__g2")), F.col("next"))
+    following = following.withColumn("to", F.coalesce(own, F.when(F.col("first") != F.col("j"), F.col("first"))))
     return names.join(following.select("__g", "name", "to").filter("to IS NOT NULL"), ["__g", "name"]).select("i", F.col("to").alias("j"))
 
 

@@ -10,10 +10,14 @@ from corvine.plans.search import search
 BUDGET = 12_000
 
 
+# The first line of an excerpt, and the signs around its code.
+HEAD, OPEN, CLOSE = "[%d] %s:%d  (%s %s)", "\n```c\n", "\n```\n"
+
+
 def excerpt() -> Column:
     """A hit (rank, path, line, kind, name, code) as it stands in the context."""
-    head = F.format_string("[%d] %s:%d  (%s %s)", F.col("rank"), F.col("path"), F.col("line"), F.col("kind"), F.col("name"))
-    return F.concat(head, F.lit("\n```c\n"), F.col("code"), F.lit("\n```\n"))
+    head = F.format_string(HEAD, F.col("rank"), F.col("path"), F.col("line"), F.col("kind"), F.col("name"))
+    return F.concat(head, F.lit(OPEN), F.col("code"), F.lit(CLOSE))
 
 
 def within_budget(hits: DataFrame, budget: int = BUDGET) -> DataFrame:

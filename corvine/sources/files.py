@@ -12,25 +12,50 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from corvine.functions.session import cut
+
 SUFFIXES, SKIPPED = (".c", ".h"), {".git", ".github"}
 CORPUS = "path string, text string"
 PAIRS = "ord long, path string, name string, kind string, anchor string, positive string, negative string"
 CHUNKS = "chunk_id long, path string, name string, kind string, code string, line int"
 
 
+def list_tree(spark: SparkSession, root: str) -> DataFrame:
+    """path (from the root), file of every C source below ``root``: tasks list the folders of one depth after another."""
+
+    def entries(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            found = []
+            for folder in part.file:
+                try:
+                    with os.scandir(folder) as each:
+                        for e in each:
+                            if e.is_dir(follow_symlinks=False):
+                                found += [(e.path, True)] if e.name not in SKIPPED else []
+                            elif e.name.endswith(SUFFIXES) and e.is_file(follow_symlinks=False):
+                                found.append((e.path, False))
+                except OSError:
+                    continue  # a folder that went away or can't be read holds no sources
+            yield pd.DataFrame(found, columns=["file", "folder"])
+
+    now, out = spark.createDataFrame([(root,)], "file string"), None
+    while True:
+        level = cut(now.mapInPandas(entries, "file string, folder boolean"))
+        files = level.filter("NOT folder").select("file")
+        out = files if out is None else out.unionByName(files)
+        now = level.filter("folder").select("file").repartition("file")
+        if not now.limit(1).count():
+            break
+    return out.select(F.substring("file", len(root.rstrip("/")) + 2, 1 << 30).alias("path"), "file")
+
+
 def scan_tree(spark: SparkSession, root: str, max_bytes: int = 4 << 20) -> DataFrame:
     """path (from the root), length, content of every C source below ``root``; names with a leading dot or underscore count.
 
-    Links and the skipped folders are left out. The driver lists names; tasks read contents, so the tree
-    must be mounted alike everywhere. Content is null if it can't be read and empty if it is over
-    ``max_bytes``. For stores that only Spark reads there is ``scan_store``.
+    Links and the skipped folders are left out. Tasks list names and read contents, so the tree must be
+    mounted alike everywhere. Content is null if it can't be read and empty if it is over ``max_bytes``.
+    For stores that only Spark reads there is ``scan_store``.
     """
-    found = []
-    for folder, folders, names in os.walk(root):
-        folders[:] = [d for d in folders if d not in SKIPPED and not os.path.islink(os.path.join(folder, d))]
-        found += [os.path.join(folder, n) for n in names if n.endswith(SUFFIXES) and os.path.isfile(os.path.join(folder, n)) and not os.path.islink(os.path.join(folder, n))]
-    base = Path(root)
-    rows = [(Path(p).relative_to(base).as_posix(), p) for p in sorted(found)]
 
     def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -45,8 +70,7 @@ def scan_tree(spark: SparkSession, root: str, max_bytes: int = 4 << 20) -> DataF
                 contents.append(data)
             yield pd.DataFrame({"path": part.path, "length": sizes, "content": contents})
 
-    names = spark.createDataFrame(rows, "path string, file string").repartition(max(1, min(len(rows) // 64, 10_000) or 1))
-    return names.mapInPandas(read, "path string, length long, content binary")
+    return list_tree(spark, root).repartition("path").mapInPandas(read, "path string, length long, content binary")
 
 
 def scan_store(spark: SparkSession, root: str, max_bytes: int = 4 << 20) -> DataFrame:
@@ -61,6 +85,18 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | StructType) -> Data
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def text_batches(docs: DataFrame, size: int = 1000, text: str = "text") -> Iterator[list[str]]:
+    """The texts in lists of ``size``, the last maybe shorter, for a consumer outside Spark: the driver holds a partition at a time."""
+    batch: list[str] = []
+    for row in docs.select(text).toLocalIterator():
+        batch.append(row[0])
+        if len(batch) == size:
+            yield batch
+            batch = []
+    if batch:
+        yield batch
+
+
 def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """One object a line, characters beyond ASCII as they are."""
     df.write.mode(mode).json(path)

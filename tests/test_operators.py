@@ -406,6 +406,12 @@ def test_bpe_equals_a_plain_trainer(spark):
         assert bytes(spell[c] for i in r.ids for c in back[i]).decode() == r.text
 
 
+def test_text_batches(spark):
+    docs = spark.createDataFrame([(i, str(i)) for i in range(25)], "doc_id long, text string")
+    got = list(files.text_batches(docs, 10))
+    assert [len(b) for b in got] == [10, 10, 5] and sorted(int(x) for b in got for x in b) == list(range(25))
+
+
 def test_lsh_recall(spark):
     import numpy as np
 
