@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvine.llm import textops
-from corvine.llm.tables import cut, held_out
+from corvine.llm.tables import BROADCAST_ROWS, cut, held_out
 
 DIM = 4096
 #: Learned from at most so many documents in all, shared evenly among the languages, about those with the lowest hash of their id.
@@ -91,34 +91,39 @@ def train(x: np.ndarray, y: np.ndarray, languages: list[str], steps: int = 150)
 
 
 def decode(m: Model, margins: np.ndarray) -> np.ndarray:
-    """Probabilities of the languages: nearest codeword by loss, each bit weighted by how it does for that language."""
+    """Probabilities of the languages: nearest codeword by loss, each bit weighted by how it does for that language; of equals the first language wins."""
     loss = np.stack([np.logaddexp(0, -margins * code) @ t for code, t in zip(m.codes, m.trust, strict=True)], axis=1)
     p = np.exp(-(loss - loss.min(1, keepdims=True)) * m.codes.shape[1])
     return p / p.sum(1, keepdims=True)
 
 
 def fit(docs: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
-    """Learn from text and lang outside the held-out fifth; nulls are left out, and so are texts without a letter."""
+    """Learn from text and lang outside the held-out fifth; nulls are left out, and so are texts without a letter.
+
+    An id that comes with several languages or texts counts once, with the least language and the text whose vector comes first.
+    """
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
     sizes = cut(rows.groupBy("lang").agg(F.count("*").alias("size")))
-    each = max(20, max_labelled // max(1, sizes.count()))
+    languages = sizes.count()
+    each = max(20, max_labelled // max(1, languages))
+    few = F.broadcast(sizes) if languages <= BROADCAST_ROWS else sizes
     # A lot by hash thins large languages to about twice what is wanted before rows of one language meet.
     lot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    some = rows.select("doc_id", "lang", lot.alias("lot")).join(F.broadcast(sizes), "lang").filter(F.col("lot") < F.lit(2.0 * each * (1 << 30)) / F.col("size"))
+    some = rows.select("doc_id", "lang", lot.alias("lot")).join(few, "lang").filter(F.col("lot") < F.lit(2.0 * each * (1 << 30)) / F.col("size"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("lot", "doc_id"))
     ids = some.withColumn("rank", rank).filter(F.col("rank") <= each).select("doc_id", "lang")
-    picked = docs.select("doc_id", "text").join(F.broadcast(ids.dropDuplicates(["doc_id"])), "doc_id").select("doc_id", "lang", "text")
+    ids = ids.groupBy("doc_id").agg(F.min("lang").alias("lang"))
+    picked = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "lang", "text")
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            buf, offsets = textops.utf8(batch.column("text"), lower=True)
-            for lo, hi in textops.blocks(offsets):
-                part, cuts = buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+            for lo, hi, part, cuts in textops.lowered(batch.column("text"), 4 * textops.BLOCK):
                 ok = has_letter(part, cuts)
                 v = vectors(part, cuts).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), batch.column("lang").slice(lo, hi - lo), pa.array([x.tobytes() if k else None for x, k in zip(v, ok, strict=True)], pa.binary())], names=["doc_id", "lang", "v"])
 
     seen = picked.mapInArrow(featurise, f"doc_id {dict(picked.dtypes)['doc_id']}, lang string, v binary").filter("v IS NOT NULL").toArrow()
+    seen = seen.sort_by([("doc_id", "ascending"), ("v", "ascending")])
     seen = seen.take(np.unique(seen.column("doc_id").to_numpy(), return_index=True)[1])
     known = np.array(seen.column("lang").to_pylist(), object)
     languages = sorted(set(known))
@@ -137,10 +142,8 @@ def predict(docs: DataFrame, m: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            buf, offsets = textops.utf8(batch.column("text"), lower=True)
             best, score = np.full(batch.num_rows, -1), np.zeros(batch.num_rows)
-            for lo, hi in textops.blocks(offsets) if m.languages else []:
-                part, cuts = buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+            for lo, hi, part, cuts in textops.lowered(batch.column("text"), 4 * textops.BLOCK) if m.languages else []:
                 p = decode(m, vectors(part, cuts) @ m.weights + m.bias)
                 ok = has_letter(part, cuts)
                 best[lo:hi] = np.where(ok, p.argmax(1), -1)
