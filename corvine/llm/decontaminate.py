@@ -137,7 +137,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = 1_000_000
     """The rows of docs, columns as they are, without those that overlap a benchmark item.
 
     The ids of these are broadcast if there are at most ``broadcast_rows``, 8 bytes each. Rows with a null
-    id are told apart by their text.
+    id are told apart by their text; rows that share an id all go if one of them overlaps.
     """
     bad = cut(contaminated(docs, benchmark).select(F.col("doc_id").alias("__bad")).distinct())
     small = bad.count() <= broadcast_rows

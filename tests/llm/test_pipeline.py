@@ -1,4 +1,7 @@
+from pathlib import Path
+
 import corpus_pipeline
+from tests.llm.conftest import prose
 
 SF = "/root/testdata/sf0.001"
 
@@ -11,3 +14,28 @@ def test_stages_in_order_on_small_tables(spark):
     assert final.columns[: len(docs.columns)] == docs.columns and 0 < len(rows) <= docs.count()
     assert all(r.taken == r.copies * r.size and r.copies >= 1 for r in rows)
     assert not any("@mail" in r.text for r in rows)
+
+
+def test_each_stage_on_odd_and_empty_tables(spark, odd, none, tmp_path):
+    spark.createDataFrame([(1, 1, 0), (7, 1, 0), (2, None, 1), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, prose(3, 30)), (2, None), (None, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for docs in (odd, none):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, str(tmp_path))
+            assert out.columns == docs.columns and out.count() <= docs.count(), name
+        last = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+        assert set(docs.columns) <= set(last.columns)
+    kept = {n: {str(r.doc_id) for r in stage(spark, odd, str(tmp_path)).collect()} for n, stage in corpus_pipeline.STAGES}
+    every = {str(r.doc_id) for r in odd.collect()}
+    assert kept["toxicity"] == kept["pii"] == every and every - kept["near_duplicates"] == {"2", "8"}
+    assert every - kept["decontamination"] == {"None"} and {"3", "4", "5"}.isdisjoint(kept["mixing"])
+
+
+def test_run_deletes_what_it_has_read(spark, odd, tmp_path):
+    odd.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    final = corpus_pipeline.run(spark, str(tmp_path))
+    assert {r.doc_id for r in final.collect()} <= {r.doc_id for r in odd.collect()} and "copies" in final.columns
+    (folder,) = {Path(f.removeprefix("file://")).parent.parent for f in final.inputFiles()}
+    assert [p.name for p in folder.iterdir()] == ["mixing"]
