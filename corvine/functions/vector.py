@@ -23,9 +23,8 @@ def norm(a: Column) -> Column:
 
 def normalize(a: Column) -> Column:
     """Unit length; a zero vector stays zero."""
-    n = norm(a)
-    both = F.struct(a.alias("a"), F.when(n > 0, n).otherwise(1.0).alias("n"))
-    return let(both, lambda v: F.transform(v["a"], lambda x: x.cast("double") / v["n"]))
+    divided = lambda v, n: F.transform(v, lambda x: x.cast("double") / n)
+    return let(a, lambda v: let(norm(v), lambda n: let(F.when(n > 0, n).otherwise(1.0), lambda by: divided(v, by))))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -34,7 +33,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 def quantize(a: Column, bits: int = 8) -> Column:
     """struct(scale, codes): symmetric whole numbers of ``bits`` bits, the largest component at the end of the range."""
-    top = F.array_max(F.transform(a, lambda x: F.abs(x.cast("double"))))
-    scale = F.when(top > 0, top / (2 ** (bits - 1) - 1)).otherwise(1.0)
-    both = F.struct(a.alias("a"), scale.alias("scale"))
-    return let(both, lambda v: F.struct(v["scale"].alias("scale"), F.transform(v["a"], lambda x: F.round(x.cast("double") / v["scale"]).cast("int")).alias("codes")))
+    top = lambda v: F.array_max(F.transform(v, lambda x: F.abs(x.cast("double"))))
+    scale = lambda t: F.when(t > 0, t / (2 ** (bits - 1) - 1)).otherwise(1.0)
+    codes = lambda v, by: F.struct(by.alias("scale"), F.transform(v, lambda x: F.round(x.cast("double") / by).cast("int")).alias("codes"))
+    return let(a, lambda v: let(top(v), lambda t: let(scale(t), lambda by: codes(v, by))))
