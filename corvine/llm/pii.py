@@ -127,8 +127,14 @@ def shape(word: str) -> tuple[str, str]:
 
 
 def features(text: str, run: list[tuple[int, int]]) -> list[list[str]]:
-    before = re.search(r"([^\W\d_]+)[^\w]*\Z", text[max(0, run[0][0] - 40) : run[0][0]])
-    cue = "cue=" + (before[1].lower() if before else "")
+    # The word right before, however far: no run ends between the two, so each place is passed once.
+    end = run[0][0]
+    while end and not (text[end - 1].isalnum() or text[end - 1] == "_"):
+        end -= 1
+    begin = end
+    while begin and text[begin - 1].isalpha():
+        begin -= 1
+    cue = "cue=" + text[begin:end].lower()
     out = []
     for k, (s, e) in enumerate(run):
         word = text[s:e].strip(".,;:!?\"'")
