@@ -27,14 +27,33 @@ KNOWN = [
 ]
 
 
+# Digests of the canonical form of whole license files, (id, SHA-256).
+KNOWN_DIGESTS: list[tuple[str, str]] = [
+    ("Apache-2.0", "bc076abbbd0a733d8d1bccb29fc922703ada79172d50fb1903ceeb6a518ec502"),
+    ("Artistic-1.0-Perl", "c9bcba9e70d36ab628a0944e717aa88f7b65f5755a9f3061c584801892429806"),
+    ("CC0-1.0", "cccf7894e1b9f4ba9f97728bf0c5baf9e07bc2ac93da7a51556451b1fb2b868e"),
+    ("GFDL-1.2", "94541e73869af10ab6bd68a29575eede324e54e7d5237e7386d12444f593af60"),
+    ("GFDL-1.3", "a92fdbaeafedd9cbeb812ebbded06ee07e3b1427c81cfc333e682109c594d826"),
+    ("GPL-1.0", "9e12a40a9b22c45d116f19e1746b08ea0b853519de3e03ceb780f2a36d5f388c"),
+    ("GPL-2.0", "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821"),
+    ("GPL-3.0", "093bb37bff6533bc1f91f57d671e3e2cc9e4e27afc1293808fddc861a6d15329"),
+    ("LGPL-2.0", "f9b00d7dd889292d1d69f78a22d72302ac61a82dde1446b16cbbe572b21eed72"),
+    ("LGPL-2.1", "cede37d9e3798d7723623960a5fed8377eb7f2b8275723c4d484d1aa3a940c1c"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "fcb579371133afd771fed87cd5d8c6dc5648746c9945d4adf08ec5c79aba5c61"),
+    ("MPL-2.0", "95f6a0d094cf3da6a140310541c7b576789031b600469b70877b34f97918e4c9"),
+]
+
+
 def canonical(text: Column) -> Column:
     """Lower case, no lines that are a copyright notice, words only, one blank between, canonical spellings.
 
     A line is a copyright notice if it begins, after signs and blanks, with "copyright" or "(c)" and a year
-    or a name follows on it. "Copyright" before nothing, or before "notice", "holder" or "owner", is a
+    or a name follows on it, or if it says "all rights reserved" and nothing else. "Copyright" before nothing, or before "notice", "holder" or "owner", is a
     wrapped line of the text and stays. Null gives the empty text.
     """
     x = F.lower(F.coalesce(text, F.lit("")))
+    x = F.regexp_replace(x, r"(?m)^[^\p{L}\p{N}\n]*all rights reserved[^\p{L}\p{N}\n]*$", " ")
     x = F.regexp_replace(x, r"(?m)^[^\p{L}\p{N}\n(©]*(copyright(?![^\p{L}\p{N}\n]*(?:$|(?:notices?|holders?|owners?)(?![\p{L}\p{N}])))|\(c\)|©)[^\n]*$", " ")
     x = F.concat(F.lit(" "), F.regexp_replace(x, r"[^\p{L}\p{N}]+", "  "), F.lit(" "))
     for variant, same in SPELLINGS:
@@ -42,10 +61,12 @@ def canonical(text: Column) -> Column:
     return F.trim(F.regexp_replace(x, " +", " "))
 
 
-def digests(spark: SparkSession, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
-    """digest, license of the known texts; of texts that are the same once canonical, the first id stays."""
+def digests(spark: SparkSession, known: list[tuple[str, str]] = KNOWN, files: list[tuple[str, str]] = KNOWN_DIGESTS) -> DataFrame:
+    """digest, license of the known texts and files; of texts that are the same once canonical, the first id stays."""
     rows = spark.createDataFrame([(i, *r) for i, r in enumerate(known)], "at int, license string, text string")
-    return rows.groupBy(F.sha2(canonical(F.col("text")), 256).alias("digest")).agg(F.min_by("license", "at").alias("license"))
+    rows = rows.select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "license", "at")
+    rows = rows.unionByName(spark.createDataFrame([(d, k, len(known) + i) for i, (k, d) in enumerate(files)], "digest string, license string, at int"))
+    return rows.groupBy("digest").agg(F.min_by("license", "at").alias("license"))
 
 
 def scan(docs: DataFrame, known: DataFrame, broadcast_rows: int = 100_000) -> DataFrame:

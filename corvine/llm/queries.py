@@ -84,19 +84,43 @@ def _license_sql() -> str:
 
     def canonical(text: str) -> str:
         x = f"lower(coalesce({text}, ''))"
-        x = rf"regexp_replace({x}, '(?m)^[^\p{{L}}\p{{N}}\n(©]*(copyright|\(c\)|©)[^\n]*$', ' ', 'g')"
+        x = rf"regexp_replace({x}, '(?m)^[^\p{{L}}\p{{N}}\n]*all rights reserved[^\p{{L}}\p{{N}}\n]*$', ' ', 'g')"
+        # Lines that go on with "notice" and the like are marked first, so that they stay.
+        x = rf"regexp_replace({x}, '(?m)^([^\p{{L}}\p{{N}}\n(©]*copy)(right[^\p{{L}}\p{{N}}\n]*(?:$|(?:notices?|holders?|owners?)(?:[^\p{{L}}\p{{N}}]|$)))', '\1' || chr(1) || '\2', 'g')"
+        x = rf"replace(regexp_replace({x}, '(?m)^[^\p{{L}}\p{{N}}\n(©]*(copyright|\(c\)|©)[^\n]*$', ' ', 'g'), chr(1), '')"
         x = rf"' ' || regexp_replace({x}, '[^\p{{L}}\p{{N}}]+', '  ', 'g') || ' '"
         for variant, same in license.SPELLINGS:
             x = f"replace({x}, ' {variant.replace(' ', '  ')} ', ' {same} ')"
         return f"trim(regexp_replace({x}, ' +', ' ', 'g'))"
 
+    files = ", ".join(f"('{d}', '{k}')" for k, d in license.KNOWN_DIGESTS)
     rows = ", ".join(f"({i}, '{k}', '{t}')" for i, (k, t) in enumerate(license.KNOWN))
     return f"""
 WITH known AS (
   SELECT sha256({canonical("text")}) AS digest, min_by(license, ord) AS license
-  FROM (VALUES {rows}) AS k(ord, license, text) GROUP BY 1),
+  FROM (VALUES {rows}) AS k(ord, license, text) GROUP BY 1
+  UNION ALL VALUES {files}),
 own AS (SELECT doc_id, sha256({canonical("text")}) AS digest FROM documents)
 SELECT doc_id, own.digest, license FROM own LEFT JOIN known ON own.digest = known.digest AND known.digest <> sha256('')"""
 
 
-ORACLES: dict[str, str] = {"op5_urls": _urls_sql(), "op8_license": _license_sql()}
+def _substrings_sql() -> str:
+    """Every string of LENGTH bytes as hex digits with the least id that has it, then runs of removed starts."""
+    n = substrings.LENGTH
+    return f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS hx FROM documents),
+p AS (SELECT doc_id, hx, unnest(range(greatest(length(hx) // 2 - {n - 1}, 0))) AS p FROM d),
+s AS (SELECT doc_id, p, substr(hx, 2 * p + 1, {2 * n}) AS k FROM p),
+f AS (SELECT k, min(doc_id) AS first FROM s GROUP BY k),
+g AS (SELECT doc_id, p FROM s JOIN f USING (k) WHERE first < doc_id),
+r AS (SELECT doc_id, p, coalesce(p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + {n}, true)::INT AS new FROM g),
+i AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM r),
+x AS (SELECT doc_id, min(p) AS a, max(p) + {n} AS b FROM i GROUP BY doc_id, run),
+y AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM x),
+z AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(substr(hx, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) AS kept FROM y JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, (length(hx) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept, '') || substr(hx, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN z USING (doc_id)"""
+
+
+ORACLES: dict[str, str] = {"op1_substrings": _substrings_sql(), "op5_urls": _urls_sql(), "op8_license": _license_sql()}
