@@ -15,6 +15,8 @@ TABLES = 8
 #: Probes for each table are the fewest that find this share of the true neighbours in a sample of SAMPLE rows and
 #: ASKED of them as queries. A sample's neighbours are farther than those among all rows, so the share is then higher.
 RECALL, SAMPLE, ASKED = 0.95, 4096, 128
+#: Share by which lengths of unit vectors in single precision differ.
+ROUNDING = 1e-6
 #: Buckets broadcast at most, some 20 bytes each; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 #: Rows of either side that one task compares at once, and comparisons that a shuffled probe costs about.
@@ -70,13 +72,15 @@ def buckets(x: np.ndarray, table: int, probes: int, polytopes: int = 1) -> np.nd
 def lifted(x: np.ndarray, norm: float, query: bool) -> np.ndarray:
     """Rows on the unit sphere of a power of two dimensions, so that their angle follows the inner product.
 
-    A base vector gets a component that fills it up to the longest ``norm``, and a query 0 there.
+    A base vector gets a component that fills it up to the longest ``norm``, and a query 0 there. ``norm``
+    is 0 where all lengths agree within ROUNDING: then an inner product is off its angle's by that share
+    at most, about its rounding in single precision, and no component is needed.
     """
     d = x.shape[1]
     length = np.linalg.norm(x, axis=1, keepdims=True)
-    out = np.zeros((len(x), 1 << d.bit_length()))
-    out[:, :d] = x / length if query else x / norm
-    if not query:
+    out = np.zeros((len(x), 1 << max(0, (d + 1 if norm else d) - 1).bit_length()))
+    out[:, :d] = x / norm if norm and not query else x / length
+    if norm and not query:
         out[:, d] = np.sqrt(np.maximum(0, 1 - (length[:, 0] / norm) ** 2))
     return out
 
@@ -186,7 +190,8 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, tables: int = TABLE
     The k largest inner products with every row but the query's own, in double precision, summed from
     the first component to the last; ties go to the smaller vec_id. Null, zero and non-finite vectors,
     and those of another width than the widest, take no part; rows that are the same throughout count
-    once. Equal vectors are searched and found as one: only the k + 1 lowest ids of each can rank.
+    once. An id that comes with several vectors counts with each: as a query it keeps the nearest that any
+    of them finds, as a hit its best. Equal vectors are searched and found as one: only the k + 1 lowest ids of each can rank.
     A query whose probes bring fewer than k others is compared with all rows, block by block.
     """
     width = vectors.agg(F.max(F.size("embedding"))).first()[0] or 0
@@ -201,10 +206,10 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, tables: int = TABLE
     asks = cut(rows.filter("asks").select("id", "embedding").distinct())
     one = cut(asks.groupBy("embedding").agg(F.min("id").alias("id")).select("id", "embedding"))
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    longest, n = base.agg(F.max(norm), F.count("*")).first()
+    shortest, longest, n = base.agg(F.min(norm), F.max(norm), F.count("*")).first()
     if not n:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    lift = float(longest)
+    lift = 0.0 if longest - shortest <= ROUNDING * longest else float(longest)
     if probes is None:
         some = base.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("embedding").toArrow()
         polytopes, probes = fit_probes(_matrix(some.column("embedding").combine_chunks(), width), lift, k, n, tables)
@@ -218,5 +223,5 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, tables: int = TABLE
     # A common vector may be asked by many rows, which tasks share.
     members = cut(spread_join(asks, one.withColumnRenamed("id", "qid"), "embedding", "id", frequent(asks, "embedding")).select("qid", F.col("id").alias("query_id")))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    hits = spread_join(members, found, "qid", "query_id", frequent(members, "qid")).filter(F.col("query_id") != F.col("vec_id")).withColumn("rank", F.row_number().over(best))
+    hits = spread_join(members, found, "qid", "query_id", frequent(members, "qid")).filter(F.col("query_id") != F.col("vec_id")).groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(best))
     return hits.filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

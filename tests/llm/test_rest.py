@@ -1,5 +1,7 @@
+import itertools
 import random
 import textwrap
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -196,3 +198,77 @@ def test_few_and_no_vectors(spark):
     assert sorted((r.query_id, r.rank, r.vec_id) for r in ann.search(vectors(spark, rows), F.col("vec_id") % 20 == 0).collect()) == [(0, 1, 1), (0, 2, 20), (20, 1, 0), (20, 2, 1)]
     assert ann.search(vectors(spark, []), F.col("vec_id") % 20 == 0).count() == 0
     assert ann.search(vectors(spark, [(0, None)]), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_an_outlier_among_clusters_is_compared_with_all(spark):
+    rng = np.random.default_rng(8)
+    centre = rng.normal(size=16)
+    x = centre + 0.05 * rng.normal(size=(700, 16))
+    x[40] = -centre
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x.astype(np.float32))]
+    want, got = brute(rows, 20), {}
+    for r in ann.search(vectors(spark, rows), F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r.query_id, []).append((-r.score, r.vec_id))
+    assert {q: len(v) for q, v in got.items()} == {q: 20 for q in want}
+    assert sorted(got[40]) == want[40]
+    assert sum(len(set(got[q]) & set(want[q])) for q in want) >= 0.9 * 20 * len(want)
+
+
+def test_an_id_with_several_vectors_counts_with_each(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [0.9, 0.0]), (2, [0.0, 0.8]), (2, [0.7, 0.0]), (3, [-1.0, 0.0])]
+    for some in (rows, rows[::-1]):
+        got = [(r.rank, r.vec_id, round(r.score, 6)) for r in ann.search(vectors(spark, some), F.col("vec_id") % 20 == 0, k=2).orderBy("rank").collect()]
+        assert got == [(1, 1, 0.9), (2, 2, 0.8)]
+
+
+def test_two_polytopes_a_table(spark):
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(40, 16))
+    x = centres[rng.integers(0, 40, 1200)] + 0.1 * rng.normal(size=(1200, 16))
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x.astype(np.float32))]
+    want, got = brute(rows, 20), {}
+    for r in ann.search(vectors(spark, rows), F.col("vec_id") % 20 == 0, probes=40, polytopes=2).collect():
+        got.setdefault(r.query_id, []).append((-r.score, r.vec_id))
+    assert sum(len(set(got[q]) & set(want[q])) for q in want) >= 0.9 * 20 * len(want)
+    y = rng.normal(size=(5, 8))
+    every = ann.buckets(y, 3, 10**6, 2)
+    assert every.shape == (5, 256) and all(len(set(r)) == 256 for r in every.tolist())
+    assert (ann.buckets(y, 3, 9, 2) == every[:, :9]).all()
+
+
+def test_fitted_probes_grow_no_dearer(monkeypatch):
+    rng = np.random.default_rng(10)
+    centres = rng.normal(size=(30, 12))
+    x = centres[rng.integers(0, 30, 900)] + 0.05 * rng.normal(size=(900, 12))
+    norm = float(np.linalg.norm(x, axis=1).max())
+    monkeypatch.setattr(ann, "BLOCK", 8)
+    few, many = ann.fit_probes(x, norm, 20, 100), ann.fit_probes(x, norm, 20, 10**7)
+    assert few[0] == 1 and many[0] == 2 and many[1] < 32 * 32
+
+
+def test_odd_urls(spark):
+    long = "http://h.net/a/" + "x" * 200_000
+    rows = [(1, long), (1, long), (None, "http://h.net/a/b"), (2, None), (3, "no scheme"), (None, None)]
+    pages = spark.createDataFrame([(*r, "h", "p", 3) for r in rows], "page_id long, url string, host string, path string, size int")
+    got = sorted((str(r.page_id), r.host, len(r.path), r.rule, r.verdict) for r in urlfilter.judge(pages, [urlfilter.Rule("block", "net", "/a/")]).collect())
+    assert got == sorted([("1", "h.net", 200_003, "net/a/", "block")] * 2 + [("None", "h.net", 4, "net/a/", "block"), ("2", "", 0, None, "allow"), ("3", "", 0, None, "allow"), ("None", "", 0, None, "allow")])
+
+
+def test_license_lines_and_whole_files(spark):
+    mit = dict(license.KNOWN)["MIT"]
+    rows = [(1, "Copyright 2020 Ann\nAll rights reserved.\n\n" + mit, "", ""), (2, "(c) 2020 Ann\n  ALL RIGHTS RESERVED\n" + mit, "", ""), (3, "All rights reserved by Ann\n" + mit, "", "")]
+    files = Path("/usr/share/common-licenses")
+    named = {"GPL-3.0": "GPL-3", "Apache-2.0": "Apache-2.0", "MPL-2.0": "MPL-2.0"} if files.is_dir() else {}
+    rows += [(10 + i, (files / f).read_text().replace("\n", "\r\n").upper(), "", "") for i, f in enumerate(named.values())]
+    got = {r.doc_id: r.license for r in license.scan(table(spark, rows), license.digests(spark)).collect()}
+    assert got == {1: "MIT", 2: "MIT", 3: None} | {10 + i: k for i, k in enumerate(named)}
+    assert license.scan(table(spark, rows), license.digests(spark, [], [])).filter("license IS NOT NULL").count() == 0
+
+
+def test_masks_meet_any_few_substitutions_of_the_least_length():
+    """Wherever up to three of the tokens of the least stretch that scores LEAST differ, a mask or a run lies between."""
+    seeds = decontaminate.MASKS + (tuple(range(4)),)
+    for k in range(4):
+        n = max(decontaminate.LEAST, decontaminate.PENALTY * k) + k
+        for differ in itertools.combinations(range(n), k):
+            assert any(not any(i + p in differ for p in m) for m in seeds for i in range(n - max(m)))
