@@ -105,12 +105,14 @@ SELECT doc_id, own.digest, license FROM own LEFT JOIN known ON own.digest = know
 
 
 def _substrings_sql() -> str:
-    """Every string of LENGTH bytes as hex digits with the least id that has it, then runs of removed starts."""
+    """Every string of LENGTH bytes as hex digits, cut from pieces of a hundred starts, with the least id that has it; then runs of removed starts."""
     n = substrings.LENGTH
     return f"""
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS hx FROM documents),
-p AS (SELECT doc_id, hx, unnest(range(greatest(length(hx) // 2 - {n - 1}, 0))) AS p FROM d),
-s AS (SELECT doc_id, p, substr(hx, 2 * p + 1, {2 * n}) AS k FROM p),
+o AS (SELECT doc_id, hx, greatest(length(hx) // 2 - {n - 1}, 0) AS many, unnest(range((greatest(length(hx) // 2 - {n - 1}, 0) + 99) // 100)) AS o FROM d),
+b AS (SELECT doc_id, 100 * o AS o, substr(hx, 200 * o + 1, {198 + 2 * n}) AS part, many FROM o),
+p AS (SELECT doc_id, o, part, unnest(range(least(100, many - o))) AS r FROM b),
+s AS (SELECT doc_id, o + r AS p, substr(part, 2 * r + 1, {2 * n}) AS k FROM p),
 f AS (SELECT k, min(doc_id) AS first FROM s GROUP BY k),
 g AS (SELECT doc_id, p FROM s JOIN f USING (k) WHERE first < doc_id),
 r AS (SELECT doc_id, p, coalesce(p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + {n}, true)::INT AS new FROM g),
