@@ -19,8 +19,10 @@ SHINGLE, SIMILAR = 5, 0.8
 #: pairs of words because texts at the limit may share no five-word shingle at all. Texts of up to FEW words have few pairs
 #: of words left after an edit, so their words are drawn too.
 FAMILIES, SHORT, FEW = ((SHINGLE, 3, 12), (2, 2, 24)), ((1, 3, 12),), 30
-#: Bins of words for the first comparison, texts of a bucket compared at once, and a bucket's size beyond which it is dealt anew.
+#: Bins of words for the first comparison, texts of a bucket compared at once, and a bucket's size beyond which it is dealt by length.
 COARSE, BLOCK, LARGE = 64, 4_000, 16_000
+#: Texts of one band of lengths or of neighbouring ones are all that can be similar; the slack is for rounding.
+BAND = -float(np.log(SIMILAR)) + 1e-9
 #: Pairs that are aligned in one cell, about.
 PAIRS = 512
 #: Tasks that share the edges of one vertex where minima are too many to broadcast.
@@ -306,10 +308,9 @@ def links(docs: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     Texts that share a sketch's hash form a bucket. Its least id leads: all others are compared with it, by
     their bags of words first and then by alignment. ``unsettled`` tells which members can still be similar
     to another one; those of different classes are compared with each other by ``possible``, and the pairs
-    that it lets through are aligned. A bucket of over LARGE such members is first dealt anew, by sketches
-    drawn afresh that its members must share as well: linked texts meet there as they met in the first
-    place, others far less. So the pairs of a group of copies are never listed, nobody is dropped, and what
-    stays large is compared block by block.
+    that it lets through are aligned. A bucket of over LARGE such members is compared by bands of lengths,
+    which no similar pair is too far apart for. So the pairs of a group of copies are never listed, nobody
+    is dropped, and a pair that shares a bucket is found whatever the bucket's size.
     """
     rows = reps.select("id", F.explode("sketch").alias("sign"))
     # Buckets of one, most of all, go at once.
@@ -326,24 +327,17 @@ def links(docs: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     roots = cut(components(near.select("a", "b")))
     small = roots.count() <= BROADCAST_ROWS
     members = unsettled(left, pairs, near, F.broadcast(roots) if small else roots, hot)
-    found = None
-    for level in (1, 2):
-        open_ = members.groupBy("sign").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("sign", "size")
-        members = cut(spread_join(members, open_, "sign", "id", hot))
-        large = members.filter(F.col("size") > LARGE) if level == 1 else None
-        again = large is not None and bool(large.limit(1).count())
-        some = members.filter(F.col("size") <= LARGE) if again else members
-        if some.limit(1).count():
-            found = possible(some, known) if found is None else found.union(possible(some, known))
-        if not again:
-            break
-        anew = sketched(texts.join(large.select("id").distinct(), "id", "left_semi").withColumnRenamed("id", "doc_id"), level).select(F.col("doc_id").alias("id"), F.explode("sketch").alias("more"))
-        members = cut(large.drop("size").join(anew, "id").select("id", F.xxhash64("sign", "more").alias("sign"), "root"))
-        hot = frequent(members, "sign")
+    members = members.withColumn("band", F.floor(F.log("n") / BAND).cast("int"))
+    bands = members.groupBy("sign", "band").agg(F.count("*").alias("many"), F.min("root").alias("low"), F.max("root").alias("high")).groupBy("sign")
+    size = F.sum("many")
+    # A row for each band of a bucket: text lengths are its only bound, and they are few.
+    every = F.when(size > LARGE, F.map_from_entries(F.collect_list(F.struct("band", "many")))).otherwise(F.create_map(F.lit(0), size))
+    open_ = bands.agg(size.alias("size"), F.min("low").alias("low"), F.max("high").alias("high"), every.alias("bands")).filter("low < high").select("sign", "size", "bands")
+    members = cut(spread_join(members, open_, "sign", "id", hot).withColumn("band", F.when(F.col("size") > LARGE, F.col("band")).otherwise(0)).drop("n", "size"))
     near = near.select("a", "b", "similarity")
-    if found is None:
+    if not members.limit(1).count():
         return near, roots
-    fresh = found.distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+    fresh = possible(members, known).distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti")
     more = verified(fresh, texts).select("a", "b", "similarity")
     # Further links join whole classes: only their roots meet.
     own = F.broadcast(roots) if small else roots
@@ -355,7 +349,7 @@ def links(docs: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def unsettled(left: DataFrame, pairs: DataFrame, near: DataFrame, roots: DataFrame, hot: DataFrame) -> DataFrame:
-    """left (id, sign, lead), pairs (a, b, n_a, least), near (a, b, edits), roots (id, root) -> id, sign, root of the members of each bucket that another member than its leader may be similar to and isn't of one class with.
+    """left (id, sign, lead), pairs (a, b, n_a, least), near (a, b, edits), roots (id, root) -> id, sign, root, n of the members of each bucket that another member than its leader may be similar to and isn't of one class with.
 
     Strangers are the members of other classes than the leader's. Edits are a distance, so a stranger that
     takes d edits from the leader is at least d - e from a linked member that takes e: where all strangers
@@ -370,23 +364,26 @@ def unsettled(left: DataFrame, pairs: DataFrame, near: DataFrame, roots: DataFra
     reach = F.max(F.when(F.col("linked"), F.col("d") + limit_of(F.col("n") / SIMILAR)))
     stats = members.groupBy("sign").agg(F.count_if("stranger").alias("strangers"), F.count_if(~F.col("stranger") & ~F.col("linked")).alias("others"), F.min(F.when(F.col("stranger"), F.col("d"))).alias("closest"), reach.alias("reach"))
     stats = stats.withColumn("mixed", F.coalesce(F.col("closest") <= F.col("reach"), F.lit(False))).filter("strangers > 0 AND (mixed OR strangers + others > 1)").select("sign", "mixed")
-    return cut(spread_join(members.select("id", "sign", "linked", "root"), stats, "sign", "id", hot).filter("mixed OR NOT linked").select("id", "sign", "root"))
+    return cut(spread_join(members.select("id", "sign", "linked", "root", "n"), stats, "sign", "id", hot).filter("mixed OR NOT linked").select("id", "sign", "root", "n"))
 
 
 def possible(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """rows (sign, id, root, size of the bucket), known (id, n, bag) -> a, b: pairs of a bucket that can be similar at all.
+    """rows (sign, id, root, band, bands: how many members each band of the bucket has), known (id, n, bag) -> a, b: pairs of a bucket that can be similar at all.
 
     Pairs of the same root are left out: they are of one class as it is. A pair that shares several buckets
     is listed in the least of them.
 
     Two texts differ by at least as many edits as the larger sum of surplus words in their bins; pairs for
-    which that, or the difference in length, is over the limit are never listed. Buckets of over BLOCK
-    members are compared block by block, each pair of blocks a group of its own.
+    which that, or the difference in length, is over the limit are never listed. Bands of over BLOCK
+    members are compared block by block, each pair of blocks of a band or of two neighbours a group of its own.
     """
     signs = rows.groupBy("id").agg(F.array_sort(F.collect_set("sign")).alias("signs"))
-    most = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    rows = rows.join(known.join(signs, "id"), "id").withColumn("blocks", most).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    blocks = lambda band: F.ceil(F.coalesce(F.col("bands")[band], F.lit(0)) / BLOCK)
+    name = lambda band, block: band.cast("long") * (1 << 24) + block
+    own = name(F.col("band"), F.pmod(F.xxhash64("id"), blocks(F.col("band"))))
+    none = F.array().cast("array<bigint>")
+    others = F.concat(*(F.when(blocks(b) > 0, F.sequence(name(b, F.lit(0)), name(b, blocks(b) - 1))).otherwise(none) for b in (F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(others)).drop("bands").join(known.join(signs, "id"), "id")
     rows = rows.select("sign", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "root", "n", "bag", "signs")
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:

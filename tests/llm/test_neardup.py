@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from corvine.llm import neardup, textops
@@ -165,6 +166,30 @@ def test_large_buckets_are_dealt_anew(spark, monkeypatch):
     assert all(got[100 + i] == got[i] for i in range(0, 60, 3)) and len(set(got.values())) == len({got[i] for i in range(60)})
 
 
+def hashed(text):
+    return textops.words(*textops.utf8(pa.array([text]), lower=True))[3]
+
+
+def test_pairs_of_a_large_bucket_meet_without_another_sketch(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 3)
+    monkeypatch.setattr(neardup, "LARGE", 2)
+    pairs, seed = [], 0
+    while len(pairs) < 3:  # at the limit, and sketches drawn afresh would not meet
+        seed += 1
+        a = [f"{w}{seed}x{i}" for i, w in enumerate(prose(seed, 30).split())]
+        pair = " ".join(a), " ".join("new" if i % 5 == 2 else w for i, w in enumerate(a))
+        if not len(np.intersect1d(*(neardup.sketches(hashed(x), 1) for x in pair))):
+            pairs.append(pair)
+    # As many edits again by length alone: texts of 16 to 20, 40 to 50 and 200 to 250 words.
+    pairs += [(prose(7000 + n, n), prose(7000 + n, n) + " more" * (n // 4)) for n in (16, 40, 200)]
+    texts = [prose(6999, 60), *(x for pair in pairs for x in pair)]
+    rows = [(i, x, "en", "s") for i, x in enumerate(texts)]
+    reps = spark.createDataFrame([(i, [5]) for i in range(len(rows))], "id long, sketch array<long>")
+    near, roots = neardup.links(table(spark, rows), reps)
+    assert sorted((r.a, r.b) for r in near.collect()) == [(2 * i + 2, 2 * i + 1) for i in range(len(pairs))]
+    assert {r.id: r.root for r in roots.collect()} == {2 * i + k: 2 * i + 1 for i in range(len(pairs)) for k in (1, 2)}
+
+
 def test_repeated_ids_have_one_text(spark):
     a, b = prose(40, 60), prose(41, 60)
     rows = [(1, max(a, b), "", ""), (5, a, "", ""), (5, b, "", ""), (5, None, "", ""), (5, b, "", ""), (9, min(a, b), "", "")]
