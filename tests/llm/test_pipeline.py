@@ -1,7 +1,11 @@
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
+
 import corpus_pipeline
-from tests.llm.conftest import prose
+from corvine.llm import neardup, textops
+from tests.llm.conftest import prose, table
 
 SF = "/root/testdata/sf0.001"
 
@@ -39,3 +43,20 @@ def test_run_deletes_what_it_has_read(spark, odd, tmp_path):
     assert {r.doc_id for r in final.collect()} <= {r.doc_id for r in odd.collect()} and "copies" in final.columns
     (folder,) = {Path(f.removeprefix("file://")).parent.parent for f in final.inputFiles()}
     assert [p.name for p in folder.iterdir()] == ["mixing"]
+
+
+def test_near_duplicates_do_not_hang_on_the_size_of_a_bucket(spark, monkeypatch):
+    # Two texts at the limit meet only in buckets that a third, unlike both, leads; sketches drawn afresh would not meet.
+    hashes = lambda words: textops.words(*textops.utf8(pa.array([" ".join(words)])))[3]
+    for seed in range(100_000):
+        a = [f"{w}{seed}x{i}" for i, w in enumerate(prose(seed, 35).split())]
+        b = [f"new{i}" if i % 5 == 2 else w for i, w in enumerate(a)]
+        x, y = hashes(a), hashes(b)
+        if not len(np.intersect1d(neardup.sketches(x, 1), neardup.sketches(y, 1))):
+            met = np.intersect1d(neardup.sketches(x), neardup.sketches(y))
+            if len(met) and np.isin(met, neardup.sketches(hashes(a[:26]))).all():
+                break
+    docs = table(spark, [(1, " ".join(a[:26]), "en", "s"), (2, " ".join(a), "en", "s"), (3, " ".join(b), "en", "s")])
+    for large in (neardup.LARGE, 0):
+        monkeypatch.setattr(neardup, "LARGE", large)
+        assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) == [1, 2]
