@@ -10,14 +10,27 @@ from pyspark.sql import functions as F
 from corvine.llm import decontaminate, mixing, neardup, pii, toxicity
 from corvine.llm.tables import remove, shared_folder, table
 
+#: Rows that travel to Python together, at most: Spark's 10,000 whole texts are held twice by the executor and twice by its worker.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Stages are written by who calls them, so this holds for the session; a smaller setting of its own stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go; it learns from the labels outside the held-out fifth."""
+    small_batches(spark)
     return toxicity.clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class stays, that of the least doc_id."""
+    small_batches(spark)
     return neardup.dedupe(docs)
 
 
@@ -28,6 +41,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data give way to their kind in brackets; n_chars follows the text."""
+    small_batches(spark)
     return pii.redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 

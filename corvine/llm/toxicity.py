@@ -87,7 +87,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
         for batch in batches:
             cuts, flat = batch.column("feats").offsets.to_numpy(), batch.column("feats").values.to_numpy()
             for i, (key, label) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("label").to_pylist(), strict=True)):
-                own = flat[cuts[i] : cuts[i + 1]].copy()
+                own = flat[cuts[i] : cuts[i + 1]]
                 if key not in seen or own.tobytes() < seen[key][1].tobytes():
                     seen[key] = (label, own)
         labels = np.array([seen[k][0] for k in sorted(seen)], float)

@@ -60,3 +60,17 @@ def test_near_duplicates_do_not_hang_on_the_size_of_a_bucket(spark, monkeypatch)
     for large in (neardup.LARGE, 0):
         monkeypatch.setattr(neardup, "LARGE", large)
         assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) == [1, 2]
+
+
+def test_stages_send_few_texts_to_python_at_once(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    docs, before = table(spark, [(i, prose(i, 5), "en", "s") for i in range(2500)]).coalesce(1), spark.conf.get(name)
+    rows = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"]) for b in batches)
+    try:
+        for own, most in (("10000", 1000), ("0", 1000), ("700", 700)):
+            spark.conf.set(name, own)
+            redacted = corpus_pipeline.redact_personal_data(spark, docs, "")
+            sent = [r.n for r in redacted.select("text").mapInArrow(rows, "n long").collect()]
+            assert max(sent) <= most and sum(sent) == 2500
+    finally:
+        spark.conf.set(name, before)
