@@ -1,9 +1,11 @@
 import random
+import time
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from corvine.llm import neardup, textops
 from tests.llm.conftest import prose, table
@@ -219,3 +221,19 @@ def test_components_of_a_path(spark):
     for broadcast_rows in (1000, 0):
         got = {r.id: r.root for r in neardup.components(edges, broadcast_rows).collect()}
         assert got == {i: 1 for i in range(1, 41)} | {50: 50, 51: 50}
+
+
+def test_cuts_leave_no_shuffle_files(spark):
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+        return {x for x in files.split("\n") if "shuffle_" in x}
+
+    before = shuffled()
+    rows = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    pairs = rows.join(rows.withColumnRenamed("count", "other").hint("merge"), "k")
+    got = neardup.cut(pairs)
+    until = time.time() + 10
+    while shuffled() - before and time.time() < until:  # they go in the background
+        time.sleep(0.1)
+    assert not shuffled() - before
+    assert got.count() == pairs.count() == 7 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
