@@ -3,11 +3,12 @@ import random
 import textwrap
 from pathlib import Path
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corvine.llm import ann, decontaminate, license, urlfilter
+from corvine.llm import ann, decontaminate, license, queries, urlfilter
 from tests.llm.conftest import prose, table
 
 # Spaced seeds
@@ -126,6 +127,16 @@ def test_rules_by_host_path_and_length(spark):
     assert got[7].candidates == 1  # the rule without a token alone
 
 
+def test_registered_rules_are_those_of_the_contract(spark, tmp_path):
+    urls = ["http://a.com/en/1", "http://example.com/en/71", "http://w.shop.net/de/1", "http://example.net/de/81", "http://example.net/de/7", "http://a.org/es/", "http://a.org/en/"]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    want = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("net/de/", "allow"), ("org/es/", "block"), (None, "allow")]
+    assert [(r.rule, r.verdict) for r in queries.op5_urls(spark, str(tmp_path)).orderBy("page_id").collect()] == want
+    with duckdb.connect() as con:
+        con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+        assert con.sql(f"SELECT rule, verdict FROM ({queries.ORACLES['op5_urls']}) ORDER BY page_id").fetchall() == want
+
+
 def test_rules_in_parts_and_none(spark, monkeypatch):
     monkeypatch.setattr(urlfilter, "PART", 3)
     rules = [urlfilter.Rule("block", f"h{i}.net", "/a/" if i % 2 else "/") for i in range(10)]
