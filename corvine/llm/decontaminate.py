@@ -89,19 +89,23 @@ def _one_pass(docs: DataFrame, items: DataFrame, masks: tuple[tuple[int, ...], .
         return every.select("*", F.posexplode_outer(seeds).alias("mask", "seed")).filter(F.col("seed").isNotNull())
 
     # Both sides are bounded by PASS_TOKENS: a row for each seed, and each item's tokens once.
-    known = F.broadcast(seeded(items.filter(F.size("g") >= SHORTEST), "g", "j").select("seed", "item", "j"))
-    hits = seeded(docs.select("doc_id", token_hashes(F.col("text")).alias("h")), "h", "i").join(known, "seed").join(F.broadcast(items), "item")
+    known = F.broadcast(seeded(items.filter(F.size("g") >= SHORTEST), "g", "j").select("seed", "item", "j", F.size("g").alias("m")))
+    # All hits of a text wait in memory together, so each takes no more of it than the item can lie on.
+    start, skip = F.greatest(i - j, F.lit(0)), F.greatest(j - i, F.lit(0))
+    stretch = F.slice("h", start + 1, F.least(F.size("h") - start, F.col("m") - skip))
+    hits = seeded(docs.select("doc_id", token_hashes(F.col("text")).alias("h")), "h", "i").join(known, "seed")
+    hits = hits.select("doc_id", "item", "mask", "i", "j", start.alias("start"), stretch.alias("w")).join(F.broadcast(items), "item")
     # Of neighbouring hits of one mask on one diagonal the leftmost is enough: all lie in the same overlap.
-    before = lambda m: reduce(lambda a, b: a & b, (F.get("h", i + (p - 1)) == F.get("g", j + (p - 1)) for p in m))
+    before = lambda m: reduce(lambda a, b: a & b, (F.get("w", i - F.col("start") + (p - 1)) == F.get("g", j + (p - 1)) for p in m))
     repeated = reduce(lambda a, b: a | b, ((F.col("mask") == k) & before(m) for k, m in enumerate(masks)))
     hits = hits.filter((i == 0) | (j == 0) | ~F.coalesce(repeated, F.lit(False)))
-    n = F.size("g")
-    agree = F.size(F.filter(laid(F.col("h"), F.col("g"), i - j)[0], lambda ok: ok))
+    n, shift = F.size("g"), F.least(i - j, F.lit(0))
+    agree = F.size(F.filter(laid(F.col("w"), F.col("g"), shift)[0], lambda ok: ok))
     # Most chance hits go by a plain count before their stretches are worked out.
     hits = hits.filter(agree >= F.least(F.lit(LEAST), n - F.floor(n / (PENALTY + 1))))
-    found = hits.select("doc_id", "item_id", n.alias("n"), overlap(F.col("h"), F.col("g"), i - j).alias("o"))
+    found = hits.select("doc_id", "item_id", "start", n.alias("n"), overlap(F.col("w"), F.col("g"), shift).alias("o"))
     found = found.filter(F.col("o.score") >= F.least(F.lit(LEAST), F.col("n")) if net else (F.col("n") < LEAST) | F.col("o.met"))
-    best = F.max(F.struct("o.score", (-F.col("o.first")).alias("first"), (-F.col("o.last")).alias("last")))
+    best = F.max(F.struct("o.score", (-(F.col("o.first") + F.col("start"))).alias("first"), (-(F.col("o.last") + F.col("start"))).alias("last")))
     return found.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", F.col("b.score").alias("score"), (-F.col("b.first")).alias("first_token"), (-F.col("b.last")).alias("last_token"))
 
 

@@ -113,6 +113,14 @@ def test_decontamination_of_odd_and_empty_tables(spark, odd, none):
     assert decontaminate.overlaps(odd, spark.createDataFrame([(1, prose(2, 200))], empty.schema)).count() == 2
 
 
+def test_a_long_text_of_hits_keeps_no_copy_of_itself_for_each(spark):
+    # 40,000 tokens, 160,000 hits: 51 GB if each had all hashes of the text.
+    item = [f"tok{i}" for i in range(50)]
+    docs = spark.createDataFrame([(1, " ".join((item + ["gap"]) * 800))], "doc_id long, text string")
+    (got,) = decontaminate.contaminated(docs, spark.createDataFrame([(5, " ".join(item))], "item_id long, text string")).collect()
+    assert (got.doc_id, got.item_id, got.score, got.first_token, got.last_token) == (1, 5, 50, 0, 49)
+
+
 # URLs
 
 
