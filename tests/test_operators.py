@@ -3,12 +3,14 @@ import os
 
 import numpy as np
 import pytest
+from pyspark.ml.feature import BucketedRandomProjectionLSH
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from corvine import catalog
 from corvine.functions import text as tx
 from corvine.functions import vector as vec
-from corvine.operators import chunking, evaluation, fusion, lexical, losses, mining, ordering, tokens
+from corvine.operators import chunking, evaluation, fusion, lexical, losses, mining, ordering, tokens, topk, vectors
 from corvine.plans import corpus, rag, search
 from corvine.sources import files
 from corvine.streaming import ingest
@@ -424,3 +426,51 @@ def test_lsh_recall(spark):
     asked = base.filter("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.col("v").alias("q"))
     exact, near = ({(r.query_id, r.doc_id) for r in f(base, asked, 10).collect()} for f in (vectors.knn, vectors.knn_lsh))
     assert len(exact & near) >= 0.9 * len(exact)
+
+
+def _odd_vectors(spark):
+    """Ties by copies, nulls, a null component, another size, no number, a null and a repeated id."""
+    rng = np.random.default_rng(5)
+    x = [v.tolist() for v in rng.normal(size=(40, 6))]
+    rows = [(i, x[i % 25]) for i in range(60)] + [(70, None), (71, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (72, [1.0, 2.0]), (73, [float("nan")] * 6), (None, x[3]), (5, x[30]), (74, [0.0] * 6)]
+    return spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+
+
+def test_vector_scores_equal_the_column_expressions(spark):
+    base = vectors.normalized(_odd_vectors(spark))
+    asked = base.filter("doc_id IN (5, 7, 70, 71, 72, 73)").select(F.col("doc_id").alias("query_id"), F.col("v").alias("q"))
+    plain = lambda df: sorted((repr(tuple(r)) for r in df.select("query_id", "doc_id", "score").collect()))
+    ours, theirs = vectors.scores(base, asked), base.crossJoin(asked).select("query_id", "doc_id", vec.dot(F.col("v"), F.col("q")).alias("score"))
+    assert plain(ours) == plain(theirs)
+    assert "NestedLoop" not in ours._jdf.queryExecution().toString()
+    one = asked.filter("query_id <> 5")
+    order = [F.desc(F.round("score", 9)), F.col("doc_id")]
+    for k in (1, 4, 30, 100):
+        want = ordering.ranked(theirs.filter("query_id <> 5"), ["query_id"], order, k)
+        got = vectors.knn(base, one, k)
+        assert sorted(map(repr, got.select("query_id", "rank", "doc_id", F.round("score", 9)).collect())) == sorted(map(repr, want.select("query_id", "rank", "doc_id", F.round("score", 9)).collect()))
+        assert "NestedLoop" not in got._jdf.queryExecution().toString()
+
+
+def test_best_rounds_as_spark_does(spark):
+    x = [0.1234567885, 0.1234567895, -0.1234567885, 2.5e-9, 3.5e-9, -2.5e-9, 0.3, 1 / 3, 123.0000000005, 0.0]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(x)], "i int, x double").select("i", F.round("x", 9).alias("r")).orderBy("i").collect()
+    assert (topk.rounded(np.array(x)) / 1e9).tolist() == [r.r for r in rows]
+    rng = np.random.default_rng(1)
+    best, score = topk.Best(3, 4), rng.integers(0, 9, (3, 50)) / 8
+    for at in range(0, 50, 7):
+        q, i = np.divmod(np.arange(3 * len(score[0, at : at + 7])), len(score[0, at : at + 7]))
+        best.add(q, i + at, score[:, at : at + 7].ravel())
+        best.merge()
+    assert best.id.tolist() == [i for row in score for i in sorted(range(50), key=lambda i: (-row[i], i))[:4]]
+
+
+def test_lsh_counts_pairs_of_a_bucket_without_listing_them(spark):
+    base = vectors.normalized(_odd_vectors(spark).filter("vec_id < 70")).select("doc_id", "v").localCheckpoint()
+    asked = base.filter("doc_id IN (7, 8)").select(F.col("doc_id").alias("query_id"), F.col("v").alias("q"))
+    got = vectors.knn_lsh(base, asked, 50, radius=1.2)
+    assert "Generate" not in got._jdf.queryExecution().toString()
+    model = BucketedRandomProjectionLSH(inputCol="x", outputCol="h", numHashTables=8, bucketLength=0.8, seed=42)
+    left, right = base.select("doc_id", array_to_vector("v").alias("x")), asked.select("query_id", array_to_vector("q").alias("x"))
+    want = model.fit(left).approxSimilarityJoin(left, right, 1.2, "d").select("datasetB.query_id", "datasetA.doc_id", (1 - F.col("d") * F.col("d") / 2).alias("score"))
+    assert sorted(map(tuple, got.select("query_id", "doc_id", "score").collect())) == sorted(map(tuple, want.collect()))
