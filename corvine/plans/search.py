@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvine.functions.session import cut
-from corvine.functions.text import identifier_tokens, md5_number, snippet
-from corvine.functions.vector import let, normalize
+from corvine.functions.hashed import md5_counts
+from corvine.functions.session import cut, small
+from corvine.functions.text import identifier_tokens, snippet
+from corvine.functions.vector import normalize
 from corvine.operators import fusion, lexical, vectors
 
 
@@ -16,9 +17,7 @@ def hashed_vector(text: Column, width: int = 64) -> Column:
 
     It finds shared words, not meaning. Any function from text to vectors can take its place.
     """
-    bins = F.transform(identifier_tokens(text), lambda t: (md5_number(t, 7) % width).cast("int"))
-    places = F.sequence(F.lit(0), F.lit(width - 1))
-    return normalize(let(bins, lambda b: F.transform(places, lambda d: (F.size(b) - F.size(F.array_remove(b, d))).cast("double"))))
+    return normalize(md5_counts(identifier_tokens(text), width))
 
 
 def search(index: DataFrame, queries: DataFrame, k: int = 10, mode: str = "dense", code: bool = False) -> DataFrame:
@@ -34,7 +33,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, mode: str = "dense
         hits = vectors.knn(base, asked, k).select("query_id", "rank", F.col("doc_id").alias("chunk_id"), "score")
     elif mode in ("hybrid", "rerank"):
         dense = cut(vectors.knn(base, asked, k * fusion.POOL))
-        tokens = cut(lexical.tokenized(index, "chunk_id", "code"))
+        tokens = lexical.tokenized(index, "chunk_id", "code")
         words = cut(queries.select("query_id", identifier_tokens(F.col("text")).alias("tokens")))
         fuse = fusion.hybrid_independent if mode == "hybrid" else fusion.hybrid_rerank
         hits = fuse(dense, tokens, words, k).select("query_id", "rank", F.col("doc_id").alias("chunk_id"), F.col("rrf").alias("score"))
@@ -42,4 +41,4 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, mode: str = "dense
         raise ValueError(f"unknown mode {mode!r}")
     # A few hits for each query meet the index by their ids; only the fields shown are read.
     shown = index.select("chunk_id", "path", "name", "kind", "line", F.col("code") if code else snippet(F.col("code")).alias("snippet"))
-    return hits.join(shown, "chunk_id")
+    return small(hits).join(shown, "chunk_id")

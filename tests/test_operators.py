@@ -8,9 +8,10 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from corvine import catalog
+from corvine.functions import hashed
 from corvine.functions import text as tx
 from corvine.functions import vector as vec
-from corvine.operators import chunking, evaluation, fusion, lexical, losses, mining, ordering, tokens, topk, vectors
+from corvine.operators import chunking, evaluation, fusion, lexical, losses, matching, mining, ordering, tokens, topk, vectors
 from corvine.plans import corpus, rag, search
 from corvine.sources import files
 from corvine.streaming import ingest
@@ -474,3 +475,46 @@ def test_lsh_counts_pairs_of_a_bucket_without_listing_them(spark):
     left, right = base.select("doc_id", array_to_vector("v").alias("x")), asked.select("query_id", array_to_vector("q").alias("x"))
     want = model.fit(left).approxSimilarityJoin(left, right, 1.2, "d").select("datasetB.query_id", "datasetA.doc_id", (1 - F.col("d") * F.col("d") / 2).alias("score"))
     assert sorted(map(tuple, got.select("query_id", "doc_id", "score").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_bm25_streams_what_it_joins(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(rng.choice(words, rng.integers(0, 30)))) for i in range(80)] + [(80, None), (None, "w1 w2"), (None, "w1 w3"), (7, "w1 w1 w5"), (7, "w5 w1 w9"), (7, "w9")]
+    docs = lexical.tokenized(spark.createDataFrame(rows, "doc_id long, text string").repartition(6))
+    asked = spark.createDataFrame([(i, [*rng.choice(words, 5), "w1", "w1"]) for i in range(6)] + [(6, []), (7, None), (8, ["none"])], "query_id long, tokens array<string>")
+    plain = lambda df: sorted(repr((r.query_id, r.doc_id, round(r.score, 9))) for r in df.collect())
+    ours, best = lexical.bm25(docs, asked), {k: lexical.bm25_topk(docs, asked, k) for k in (1, 5, 100)}
+    unique = docs.filter("doc_id <> 7")
+    assert "Exchange" not in lexical.bm25(unique, asked)._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(lexical, "BROADCAST_PAIRS", 0)
+    assert plain(ours) == plain(lexical.bm25(docs, asked)) != []
+    for k, got in best.items():
+        assert plain(got) == plain(lexical.bm25_topk(docs, asked, k))
+
+
+def test_containing_streams_what_it_joins(spark, monkeypatch):
+    docs = [(1, "one two three four five six seven eight nine"), (2, "xone two three four five six seveny"), (3, "a,b,c"), (4, None), (5, "é zebra-crossing here é"), (5, ""), (6, "a,b,c d")]
+    items = [(1, "two three four five six seven"), (3, "b"), (4, "zebra-crossing"), (5, "e"), (5, "é"), (6, None), (7, ""), (8, "a,b,c"), (8, "three four five")]
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, passage string")
+    ours = matching.containing(docs, items)
+    assert "Join" not in ours._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(matching, "BROADCAST_ROWS", 0)
+    assert sorted(map(repr, ours.collect())) == sorted(map(repr, matching.containing(docs, items).collect())) != []
+
+
+def test_hashes_of_tokens_equal_the_expressions(spark):
+    rows = spark.createDataFrame([(0, ["a", "b", "a"]), (1, []), (2, None), (3, ["é", "", "c"] * 50)], "i int, t array<string>")
+    each = F.transform("t", lambda t: (tx.md5_number(t, 7) % 32).cast("int"))
+    got = rows.select("i", hashed.md5_numbers(F.col("t"), 32).alias("n"), hashed.md5_counts(F.col("t"), 32).alias("c"), each.alias("want")).orderBy("i").collect()
+    assert [r.n for r in got] == [r.want for r in got]
+    assert [r.c for r in got] == [[None] * 32 if r.want is None else [float(r.want.count(b)) for b in range(32)] for r in got]
+
+
+@pytest.mark.parametrize("text", ["HTTPServer2Go", "aB", "ABC", "a1B2c3D", "__x__Y1", "éÉaKKb İ", "", None])
+def test_tokens_equal_the_rule_as_it_is_stated(spark, text):
+    row = spark.createDataFrame([(text,)], "x string")
+    apart = F.regexp_replace("x", "(?<=[a-z0-9])(?=[A-Z])", " ")
+    want = F.transform(F.filter(F.split(apart, "[^A-Za-z0-9]+"), lambda x: x != ""), F.lower)
+    got = row.select(tx.identifier_tokens(F.col("x")).alias("got"), want.alias("want")).first()
+    assert got.got == got.want
